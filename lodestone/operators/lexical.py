@@ -73,13 +73,13 @@ def field_terms(entries: DataFrame) -> DataFrame:
 def postings(entries: DataFrame, lx: Lexical = LEXICAL) -> DataFrame:
     """term, path, wtf: the damped counts of each field times its weight, and the body's saturating frequency."""
     kinds = [*FIELDS, *[f + "*" for f in FIELDS if f != "identifier"]]
-    counts = field_terms(entries).groupBy("path", "term").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.count_if(F.col("kind") == "body").alias("n"))
+    counts = field_terms(entries).groupBy("path", "term").agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in kinds], F.count_if(F.col("kind") == "body").alias("n"))
     w = Window.partitionBy("path")
     tf = F.least(F.col("n"), F.lit(lx.body_max_tf))
     ranked = counts.withColumns({"_tf": tf, "_length": F.sum("n").over(w)}).withColumn("_rank", F.row_number().over(w.orderBy(F.desc("_tf"), "term")))
     total = F.lit(0.0)
     for k in kinds:
-        c = F.col(f"`{k}`")
+        c = F.col(f"`_{k}`")
         total = total + F.when(c > 0, getattr(lx, k.rstrip("*")) * (1 + F.ln(F.least(c, F.lit(lx.max_tf))))).otherwise(0.0)
     if lx.body:
         total = total + F.when((F.col("n") > 0) & (F.col("_rank") <= lx.body_terms), body_weight(F.col("_tf"), F.col("_length"), lx)).otherwise(0.0)

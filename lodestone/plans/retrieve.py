@@ -12,6 +12,7 @@ from lodestone.functions.paths import base_name, dir_name
 from lodestone.functions.text import analyze_query, canonical_term, exact_weight_for_kind
 from lodestone.operators import graph, lexical
 from lodestone.operators.resolve import short_name, symbol_names
+from lodestone.sources.shared import written
 
 SIGNAL = ["query_id", "path", "kind", "weight", "detail"]
 
@@ -27,11 +28,11 @@ class Corpus:
     vocab: DataFrame | None = None
 
     def prepared(self, cfg: Retrieval = RETRIEVAL) -> Corpus:
-        """With the postings and the vocabulary; write them to a table to use them for many batches."""
+        """With the postings and the vocabulary, each built and written once: they are read several times."""
         if self.index is None:
-            self.index = lexical.postings(self.entries, cfg.lexical)
+            self.index = written(lexical.postings(self.entries, cfg.lexical), "postings")
         if self.vocab is None:
-            self.vocab = lexical.vocabulary(self.index, lexical.count_row(self.entries))
+            self.vocab = written(lexical.vocabulary(self.index, lexical.count_row(self.entries)), "vocab")
         return self
 
 
@@ -97,9 +98,9 @@ def _first_of_folders(files: DataFrame) -> DataFrame:
 def retrieve(corpus: Corpus, queries: DataFrame, cfg: Retrieval = RETRIEVAL, hints: DataFrame | None = None, recency: DataFrame | None = None, pins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """queries: query_id, text. hints: query_id, path, kind, detail; recency: path, rank (from 0); pins: query_id,
     path. Returns the signals (SIGNAL) and the ranking: query_id, path, score, rank; pinned files without a rank come last with score 0."""
-    signals = content_signals(corpus, queries, cfg)
+    signals = written(content_signals(corpus, queries, cfg), "signals")
     content = content_scores(signals)
-    seeds = seeds_of(content, queries, hints, cfg)
+    seeds = written(seeds_of(content, queries, hints, cfg), "seeds")
     structural = None
     if corpus.edges is not None:
         starts = seeds.select("query_id", graph.file_node(F.col("path")).alias("node"))
