@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.arrow import texts_map
 from lodestone.llm.common import clean_name, crc32_text
-from lodestone.llm.sample import sample_by_class
+from lodestone.llm.sample import sample_texts
 
 #: Training documents of each class, and lines of each of them.
 DOCS, LINES = 700, 60
@@ -184,9 +184,8 @@ def score_documents(docs: DataFrame, model: dict, text: str = "text") -> DataFra
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     d = clean_name(docs, "doc_id", "text").withColumn("held_out", crc32_text(F.col("doc_id")) % 3 == 1)
-    marks = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    learn = d.filter("not held_out").join(marks, "doc_id").select("doc_id", "text", "y")
-    rows = sample_by_class(learn, "y", DOCS, 2, [F.col("text")])
+    marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    rows = sample_texts(marks.filter(crc32_text(F.col("doc_id")) % 3 != 1), d.select("doc_id", "text"), DOCS, 2)
     model = fit([(None if r["text"] is None else r["text"].encode(), r["label"]) for r in rows])
     scored = score_documents(d.select("doc_id", "held_out", "text"), model)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -26,3 +26,27 @@ def sample_by_class(df: DataFrame, label: str, per_class: int, max_classes: int,
         if taken[row["label"]] <= per_class:
             out.append(row)
     return out
+
+
+def sample_texts(keys: DataFrame, docs: DataFrame, per_class: int, max_classes: int) -> list:
+    """Up to ``per_class`` rows (label, text) of each class, those with the smallest hash of doc_id, brought
+    to the driver. keys: doc_id, label, an id once; docs: doc_id, text. The ids are chosen without the
+    texts; then at most ``2 * (per_class + 20) * max_classes`` of them are broadcast to the documents, so
+    no text is shuffled but those taken. Of repeated rows of an id the greatest text counts."""
+    sizes = keys.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_classes).collect()
+    if not sizes:
+        return []
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    limit = F.lit(-1)
+    for row in sizes:
+        limit = F.when(F.col("label") == row[0], min(1_000_000, int((1.2 * per_class + 20) / row[1] * 1_000_000) + 1)).otherwise(limit)
+    chosen = keys.filter(place < limit).select("label", "doc_id", F.xxhash64("doc_id").alias("order")).limit(2 * (per_class + 20) * len(sizes)).collect()
+    taken: dict = {}
+    ids = []
+    for row in sorted(chosen, key=lambda r: (r["order"], str(r["doc_id"]))):
+        taken[row["label"]] = taken.get(row["label"], 0) + 1
+        if taken[row["label"]] <= per_class:
+            ids.append((row["doc_id"], row["label"], row["order"]))
+    wanted = docs.sparkSession.createDataFrame(ids, "doc_id long, label int, order long")
+    rows = docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label", "order").agg(F.max("text").alias("text")).collect()
+    return sorted(rows, key=lambda r: (r["order"], r["doc_id"]))
