@@ -16,7 +16,6 @@ scored whole, empty tables give no rows, other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.arrow import texts_map
 from lodestone.llm.common import clean_name, crc32_text
-from lodestone.llm.sample import sample_by_class
+from lodestone.llm.sample import sample_texts
 
 LABELLED, UNLABELLED = 2500, 1500
 PREFIXES = (4, 5, 6)
@@ -50,21 +49,35 @@ def features_of(word: bytes) -> list[bytes]:
     return [b"=" + w, *(f"^{s[:n]}".encode() for n in PREFIXES if len(s) > n)]
 
 
-def document_features(text: bytes | None) -> set[bytes]:
-    return {f for w in word_set(text) for f in features_of(w)}
+class _Features:
+    """Numbers for features, so that a document is an array of ints and each name is kept once."""
 
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self._words: dict[bytes, list[int]] = {}
 
-def _first_of_kind(sets: list[set[bytes]]) -> list[bool]:
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        number, known = self.number, self._words
+        out: set[int] = set()
+        for w in word_set(text):
+            got = known.get(w)
+            if got is None:
+                got = known[w] = [number.setdefault(f, len(number)) for f in features_of(w)]
+            out.update(got)
+        return np.fromiter(out, np.int32, len(out))
+
+
+def _first_of_kind(rows: list[np.ndarray], hashes: np.ndarray) -> list[bool]:
     """Whether no document before is a near copy, by five bands of three minhashes over the features that
-    few documents have (documents of a language share the others anyway)."""
+    few documents have (documents of a language share the others anyway). hashes: of each feature."""
     rng = np.random.default_rng(7)
     mul, add = rng.integers(1, 1 << 62, 15, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, 15, np.uint64)
-    count = Counter(f for s in sets for f in s)
-    rare = max(20, len(sets) // 200)
+    count = np.bincount(np.concatenate(rows), minlength=len(hashes)) if rows else np.zeros(len(hashes), np.int64)
+    rare = count <= max(20, len(rows) // 200)
     seen: set[tuple] = set()
     out = []
-    for s in sets:
-        h = np.array([crc32(f) for f in s if count[f] <= rare], np.uint64)
+    for r in rows:
+        h = hashes[r[rare[r]]]
         if not len(h):
             out.append(True)
             continue
@@ -128,43 +141,43 @@ def _logistic(rows: list[np.ndarray], target: np.ndarray, n: int, steps: int = 5
 
 def fit(labelled: list[tuple[bytes | None, int]], unlabelled: list[bytes | None]) -> dict:
     """{"bias", "weights": feature -> weight, "voters", "accuracy"}; empty weights without toxic rows."""
-    docs = [(document_features(t), y) for t, y in labelled]
-    n1, n0 = sum(y for _, y in docs), sum(1 - y for _, y in docs)
+    features = _Features()
+    rows = [features(t) for t, _ in labelled]
+    toxic = np.array([y for _, y in labelled], bool)
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1:
         return {"bias": -30.0, "weights": {}, "voters": [], "accuracy": []}
-    own, other = Counter(), Counter()
-    new = _first_of_kind([f for f, _ in docs])
-    for (f, y), first in zip(docs, new, strict=True):
-        if first:  # near copies would count one chance many times
-            (own if y else other).update(f)
-    d1 = sum(y for (_, y), first in zip(docs, new, strict=True) if first)
-    d0 = sum(new) - d1
+    names = list(features.number)
+    # Near copies would count one chance many times.
+    new = np.array(_first_of_kind(rows, np.array([crc32(f) for f in names], np.uint64)))
+    counted = lambda keep: np.bincount(np.concatenate([r for r, k in zip(rows, keep, strict=True) if k] or [np.empty(0, np.int32)]), minlength=len(names)).astype(float)
+    own, other = counted(new & toxic), counted(new & ~toxic)
+    d1, d0 = int((new & toxic).sum()), int((new & ~toxic).sum())
     share = d1 / (d1 + d0)
-    lift = lambda f: np.log((own[f] + 0.5) / (d1 + 1)) - np.log((other[f] + 0.5) / (d0 + 1))
-
-    def evidence(f: bytes) -> float:
-        """Log likelihood ratio of the feature's share of toxic documents against that of all; 0 if it is lower."""
-        k, n = own[f], own[f] + other[f]
-        p = (k + 0.1) / (n + 0.2)
-        return 0.0 if p <= share else k * np.log(p / share) + (n - k) * np.log((1 - p) / (1 - share))
-
-    ranked = sorted((f for f, k in own.items() if k >= 3 and lift(f) > 1 and evidence(f) >= EVIDENCE), key=lambda f: (-evidence(f), f))[:FEATURES]
+    lift = np.log((own + 0.5) / (d1 + 1)) - np.log((other + 0.5) / (d0 + 1))
+    # Log likelihood ratio of a feature's share of toxic documents against that of all; 0 if it is lower.
+    k, n = own, own + other
+    p = (k + 0.1) / (n + 0.2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = np.where(p <= share, 0.0, k * np.log(p / share) + (n - k) * np.log((1 - p) / (1 - share)))
+    able = np.flatnonzero((own >= 3) & (lift > 1) & (evidence >= EVIDENCE))
+    ranked = sorted(able.tolist(), key=lambda f: (-evidence[f], names[f]))[:FEATURES]
     good = ranked[:VOTERS]
-    index = {f: k for k, f in enumerate(good)}
-    all_docs = [(f, y) for f, y in docs] + [(document_features(t), -1) for t in unlabelled]
+    all_docs = [(r, int(y)) for r, y in zip(rows, toxic, strict=True)] + [(features(t), -1) for t in unlabelled]
+    place = np.full(len(features.number), -1)
+    place[ranked] = np.arange(len(ranked))
+    rows = [np.sort(at[at >= 0]) for at in (place[r] for r, _ in all_docs)]
     votes = np.zeros((len(all_docs), len(good) + 2))
-    for k, (f, _) in enumerate(all_docs):
-        hits = [index[x] for x in f if x in index]
+    for k, r in enumerate(rows):
+        hits = r[r < len(good)]
         votes[k, hits] = 1
-        votes[k, -2] = not hits
+        votes[k, -2] = not len(hits)
         votes[k, -1] = len(hits) >= 4
     known = np.array([y for _, y in all_docs])
     model = LabelModel(votes, known, n1 / (n1 + n0))
     target = np.where(known >= 0, 0.5 * known + 0.5 * model.posterior(votes), model.posterior(votes))
-    number = {f: k for k, f in enumerate(ranked)}
-    rows = [np.array(sorted(number[x] for x in f if x in number), np.int64) for f, _ in all_docs]
     weights, bias = _logistic(rows, target, len(ranked))
-    return {"bias": bias, "weights": {f: float(weights[k]) for f, k in number.items() if abs(weights[k]) > 1e-4}, "voters": good, "accuracy": model.accuracy.tolist()}
+    return {"bias": bias, "weights": {names[f]: float(weights[k]) for k, f in enumerate(ranked) if abs(weights[k]) > 1e-4}, "voters": [names[f] for f in good], "accuracy": model.accuracy.tolist()}
 
 
 class _Scores(dict):
@@ -203,9 +216,15 @@ def score_documents(docs: DataFrame, model: dict, text: str = "text") -> DataFra
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     d = clean_name(docs, "doc_id", "text").withColumn("held_out", crc32_text(F.col("doc_id")) % 5 == 0)
-    marks = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    learn = d.filter("not held_out").join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("y", F.lit(-1)).alias("y"))
-    rows = sample_by_class(learn, "y", LABELLED, 3, [F.col("text")])
+    learn = crc32_text(F.col("doc_id")) % 5 != 0
+    marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).filter(learn)
+    rows = sample_texts(marks.filter("label is not null"), d.select("doc_id", "text"), LABELLED, 2)
+    # Ids only: those drawn first, then without the labelled ones.
+    ids = d.filter("doc_id is not null and not held_out").select("doc_id")
+    share = min(1.0, 4 * (UNLABELLED + 20) / max(1, ids.count()))
+    drawn = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
+    others = drawn.join(marks.filter("label is not null"), "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("label"))
+    rows += sample_texts(others, d.select("doc_id", "text"), UNLABELLED, 1)
     text = lambda r: None if r["text"] is None else r["text"].encode()
     model = fit([(text(r), r["label"]) for r in rows if r["label"] >= 0], [text(r) for r in rows if r["label"] < 0][:UNLABELLED])
     scored = score_documents(d.select("doc_id", "held_out", "text"), model)
