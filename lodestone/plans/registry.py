@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.plans import base
 
-MODULES = ["text_queries", "lexical_queries", "eval_queries"]
+MODULES = ["text_queries", "lexical_queries", "eval_queries", "graph_queries", "code_queries", "security_queries", "context_queries"]
 
 
 def _load() -> None:
