@@ -41,10 +41,11 @@ FINDING = "path string, kind string, line int, start int, end int, match string,
 
 def count_kinds(texts: DataFrame) -> DataFrame:
     """texts: path, text. path, kind, n: native, for reports over a whole corpus; offsets are not needed."""
-    made = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda _, k=k: F.lit(k)) for k, p, _, _ in KINDS]
+    named = lambda values, kind: F.transform(values, lambda _: F.lit(kind))
+    made = [named(F.regexp_extract_all("text", F.lit(p), F.lit(0)), k) for k, p, _, _ in KINDS]
     for kind, pattern, _, _ in GUESSED:
         values = F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda v: (shannon_entropy(v) >= MIN_ENTROPY) & ~is_placeholder(v))
-        made.append(F.transform(values, lambda _, k=kind: F.lit(k)))
+        made.append(named(values, kind))
     return texts.select("path", F.explode(F.concat(*made)).alias("kind")).groupBy("path", "kind").agg(F.count("*").alias("n"))
 
 
