@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,3 +40,27 @@ def texts_map(df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes
                 at = end
 
     return df.mapInArrow(run, out)
+
+
+def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: StructType) -> DataFrame:
+    """``work`` on all rows of each key. The keys' groups are of bounded size and stream through sorted partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            cols = [t.column(k).to_numpy() for k in keys]
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            start = 0
+            for end in cut.tolist():
+                if (out := work(t.slice(start, end - start))) is not None:
+                    yield out
+                start = end
+            rest = t.slice(start).combine_chunks()
+        if rest is not None and (out := work(rest)) is not None:
+            yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

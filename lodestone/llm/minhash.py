@@ -1,12 +1,14 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents with equal shingle sets are one node from the start. Banded signatures bring nodes into buckets.
-In each round every node of a bucket that still holds several components is compared with one other
-component's node, the pair's signatures are read batch by batch, and the pair is dropped as soon as the
-posterior probability that its similarity reaches the threshold is below ``MISS``. Survivors are verified
-exactly on their whole sets of 64-bit shingle hashes, and verified links join components. Pairs within one
-component need no more comparing, so a large group of near copies costs a few comparisons per member. When
-few enough pairs are left, all of them are compared, so no pair that shares a bucket is skipped.
+Within a bucket the signatures of pairs are read batch by batch, and a pair is dropped as soon as the
+posterior probability that its similarity reaches the threshold is below ``MISS``. What is left of a
+bucket is reported as a spanning forest, never as pairs; the forests of all buckets make clusters, outside
+of which no link can lie. Within a cluster the survivors of the same test are verified exactly on their
+whole sets of 64-bit shingle hashes, and the verified links are again reported as forests. A node that
+has been reached from one neighbour is not compared to be reached again, so tight groups cost little more than a row for
+each member. Large buckets and clusters are cut into blocks, and every pair of blocks is a group of its own:
+no task holds a whole group, and no pair is skipped.
 
 With the production bands a pair at the threshold shares no bucket with probability 1.2e-5; that and the
 Bayesian miss probability are the only ways to lose a link.
@@ -18,30 +20,31 @@ no rows, texts are shingled whole, other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.arrow import texts_map
+from lodestone.llm.arrow import by_group, texts_map
 from lodestone.llm.common import clean_name, stage
 from lodestone.llm.components import components
 
 ROWS, BANDS = 6, 24
 HASHES = ROWS * BANDS
 BATCH, MISS = 16, 1e-7
-#: All remaining pairs are compared when they are so many for each row of the buckets, or star rounds bring nothing more.
-FULL_PER_ROW, STAR_ROUNDS = 4, 8
-#: Ids that may be broadcast: 8 bytes each.
+#: Blocks of a group: rows of one at least, as long as there are no more than MAX_BLOCKS; bytes of one at most.
+BLOCK_ROWS, MAX_BLOCKS, BLOCK_BYTES = 256, 16, 16 << 20
+#: Ids or buckets that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
-SIGNATURE = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType())])
-SET = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+SIGNATURE = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SET = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+LINKS = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
 
 
 class _Words(dict):
@@ -106,10 +109,24 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
+def band_hashes(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each band and its number."""
+    parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _C, parts.shape[:2]).copy()
+    for r in range(ROWS):
+        h = (h ^ parts[:, :, r]) * _A
+        h ^= h >> np.uint64(31)
+    return h.view(np.int64)
+
+
 def _signed(texts: list[bytes | None], width: int) -> dict[str, list]:
     sets = [shingle_set(t, width) for t in texts]
-    sig = iter(signatures(sets))
-    return {"n_shingles": [len(s) for s in sets], "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sig": [next(sig).tobytes() if len(s) else None for s in sets]}
+    bands = iter(band_hashes(signatures(sets)).tolist())
+    return {"n_shingles": [len(s) for s in sets], "node": [_digest(s) for s in sets], "bands": [next(bands) if len(s) else None for s in sets]}
 
 
 @lru_cache(8)
@@ -128,57 +145,97 @@ def least_matches(threshold: float, miss: float = MISS, batch: int = BATCH, hash
     return tuple(out)
 
 
-def likely(pairs: DataFrame, threshold: float) -> DataFrame:
-    """pairs: a, b, sig_a, sig_b. The pairs that no batch of hashes rules out."""
-    least = least_matches(threshold)
-    schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, HASHES) for c in ("sig_a", "sig_b"))
-            live, found = np.arange(n), np.zeros(n, np.int64)
-            for k, need in enumerate(least):
-                cols = slice(k * BATCH, (k + 1) * BATCH)
-                found[live] += (x[live, cols] == y[live, cols]).sum(1)
-                live = live[found[live] >= need]
-            take = pa.array(live)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
-
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, schema)
-
-
-def verified(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs: a, b, set_a, set_b. The pairs with 100 * intersection >= percent * union."""
-    schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sa, sb, keep = batch.column("set_a"), batch.column("set_b"), []
-            for k in range(batch.num_rows):
-                x, y = np.frombuffer(sa[k].as_py(), np.uint64), np.frombuffer(sb[k].as_py(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(k)
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
-
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, schema)
+def likely(sig: np.ndarray, x: int, others: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
+    """Those of ``others`` that no batch of hashes rules out as similar to x."""
+    found = np.zeros(len(others), np.int64)
+    for k, need in enumerate(least):
+        cols = slice(k * BATCH, (k + 1) * BATCH)
+        found += (sig[others, cols] == sig[x, cols]).sum(1)
+        keep = found >= need
+        others, found = others[keep], found[keep]
+        if not len(others):
+            break
+    return others
+
+
+def similar(sets: list[np.ndarray], x: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``others`` with 100 * intersection >= percent * union."""
+    a, keep = sets[x], []
+    for y in others.tolist():
+        b = sets[y]
+        small, large = (a, b) if len(a) < len(b) else (b, a)
+        if 100 * len(small) < percent * len(large):
+            continue
+        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        both = int((large[at] == small).sum())
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            keep.append(y)
+    return np.array(keep, np.int64)
+
+
+def forest(sig: np.ndarray, least: tuple[int, ...], side: np.ndarray | None = None, verify: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of likely (and verified) pairs. With ``side``, of pairs from different sides only."""
+    free, out = np.ones(len(sig), bool), []
+    for start in range(len(sig)):
+        if not free[start]:
+            continue
+        free[start], queue = False, [start]
+        while queue:
+            x = queue.pop()
+            others = np.flatnonzero(free if side is None else free & (side != side[x]))
+            if len(others):
+                others = likely(sig, x, others, least)
+                if verify is not None and len(others):
+                    others = verify(x, others)
+                free[others] = False
+                more = others.tolist()
+                queue.extend(more)
+                out.extend((x, y) for y in more)
+    return out
+
+
+def _in_blocks(members: DataFrame, group: str, size: Column) -> DataFrame:
+    """members: node, ``group``, …. Adds own, i and j: each row goes to every pair of blocks that its block is in."""
+    n = F.greatest(F.least(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(MAX_BLOCKS)), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int")
+    dealt = members.join(members.groupBy(group).agg(n.alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n"), group)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
+
+
+def _forests(blocks: DataFrame, group: str, percent: int, exact: bool) -> DataFrame:
+    """LINKS: the forest of each pair of blocks."""
+    least = least_matches(percent / 100)
+
+    def work(t: pa.Table) -> pa.RecordBatch | None:
+        if t.num_rows < 2:
+            return None
+        node = t.column("node").combine_chunks()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        side = None if t.column("i")[0].as_py() == t.column("j")[0].as_py() else t.column("own").to_numpy()
+        verify = None
+        if exact:
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            verify = lambda x, others: similar(sets, x, others, percent)
+        links = forest(sig, least, side, verify)
+        if not links:
+            return None
+        a, b = (pa.array(x) for x in zip(*links, strict=True))
+        return pa.RecordBatch.from_arrays([node.take(a).cast(pa.binary()), node.take(b).cast(pa.binary())], names=["u", "v"])
+
+    return by_group(blocks, [group, "i", "j"], work, LINKS)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """node, shingles of the documents with these ids (or none): a set for each node."""
+    """SET rows of the documents with these ids (or none)."""
     n = ids.count()
     some = docs.filter("doc_id is not null").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi").select("text")
     none = docs.filter("doc_id is null").select("text")
 
     def work(texts: list[bytes | None]) -> dict[str, list]:
         sets = [shingle_set(t, width) for t in texts]
-        return {"node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "shingles": [s.tobytes() for s in sets]}
+        sig = iter(signatures(sets))
+        return {"node": [_digest(s) for s in sets], "sig": [next(sig).tobytes() if len(s) else None for s in sets], "shingles": [s.tobytes() for s in sets]}
 
     return texts_map(some.union(none), "text", lambda: work, SET)
 
@@ -186,53 +243,24 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     d = clean_name(docs, "doc_id", "text")
-    signed = stage(texts_map(d, "text", lambda: lambda t: _signed(t, width), SIGNATURE), "minhash-sig")
-    nodes = stage(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("sig").alias("sig")), "minhash-nodes")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("bucket")
-    bands = nodes.select("node", band)
-    full = bands.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("bucket")
-    buckets = stage(bands.join(full, "bucket").distinct(), "minhash-buckets")
-    n_rows = buckets.count()
-    links = buckets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    tested, sets, labels, sterile = links, None, None, 0
-    for turn in range(STAR_ROUNDS + 1 if n_rows else 0):
-        at = buckets.withColumn("root", F.col("node"))
-        if labels is not None:
-            at = buckets.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        per = at.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("roots")).filter("roots > 1")
-        left = per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0)).alias("pairs")).first()["pairs"]
-        if not left:
-            break
-        every = turn == STAR_ROUNDS or sterile >= 2 or (turn >= 2 and left <= FULL_PER_ROW * n_rows + 1000)
-        if every:
-            live = at.join(per.select("bucket"), "bucket")
-            pairs = live.alias("p").join(live.alias("q"), F.expr("p.bucket = q.bucket and p.root < q.root")).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-        else:
-            # The centre of each bucket is drawn anew in every round; each node is compared with one centre.
-            draw = F.xxhash64(F.lit(turn), "node") if turn else F.lit(0)
-            centre = at.groupBy("bucket").agg(F.min(F.struct(draw, "node", "root")).alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket", "c.node", "c.root")
-            pairs = at.alias("p").join(centre.alias("q"), F.expr("p.bucket = q.bucket and p.root <> q.root")).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), F.col("p.node").alias("own"))
-            pairs = pairs.groupBy("own").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "a", "b"), "a", "b")).alias("x")).select("x.a", "x.b").distinct() if turn else pairs.groupBy("own").agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b").distinct()
-        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        tested = tested.union(pairs)
-        sig = nodes.select("node", "sig")
-        both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-        probable = stage(likely(both, percent / 100), "minhash-likely")
-        if sets is None:
-            # Only nodes that share a bucket can ever be verified; their sets are made once.
-            ids = buckets.select("node").distinct().join(nodes, "node").select(F.col("least_id").alias("doc_id")).filter("doc_id is not null")
-            made = _sets(d, ids, width).join(buckets.select("node").distinct(), "node", "left_semi")
-            sets = stage(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "minhash-sets")
-        found = stage(verified(probable.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b"), percent), "minhash-links")
-        fresh = found.count()
-        sterile = 0 if fresh else sterile + 1
-        if fresh:
-            links = links.union(found)
-            labels = components(links.toDF("u", "v"))
-        if every:
-            break
-    roots = labels if labels is not None else links.toDF("node", "root")
-    rooted = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    signed = stage(texts_map(d, "text", lambda: lambda t: _signed(t, width), SIGNATURE), "minhash-signed")
+    nodes = stage(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")), "minhash-nodes")
+    bands = nodes.select("node", F.explode("bands").alias("bucket"))
+    # A bucket is known by its number of members and the xor of their hashes; of buckets with equal members one is enough.
+    full = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
+    full = stage(full.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket"), "minhash-full")
+    few = full.count() <= BROADCAST_IDS
+    buckets = stage(bands.join(F.broadcast(full) if few else full, "bucket", "left_semi"), "minhash-buckets")
+    # Only nodes that share a bucket can be linked: their signatures and sets are made once more, from one document each.
+    wanted = stage(buckets.select("node").distinct().join(nodes.select("node", "least_id"), "node"), "minhash-wanted")
+    ids = wanted.filter("least_id is not null").select(F.col("least_id").alias("doc_id"))
+    made = _sets(d, ids, width).join(wanted.select("node"), "node", "left_semi")
+    sets = stage(made.groupBy("node").agg(F.first(F.struct("sig", "shingles")).alias("x")).select("node", "x.sig", "x.shingles"), "minhash-sets")
+    members = buckets.join(sets.select("node", "sig"), "node")
+    near = components(_forests(_in_blocks(members, "bucket", F.lit(4 * HASHES + 16)), "bucket", percent, exact=False))
+    clusters = _in_blocks(sets.join(near.withColumn("cluster", F.xxhash64("root")).drop("root"), "node"), "cluster", F.octet_length("shingles") + 4 * HASHES)
+    labels = components(_forests(clusters, "cluster", percent, exact=True))
+    rooted = nodes.select("node", "least_id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id")
     out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -17,7 +17,7 @@ each. An empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.arrow import by_group
 from lodestone.llm.common import stage
 from lodestone.llm.components import components
 
@@ -43,30 +44,6 @@ def units(column: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: T.StructType) -> DataFrame:
-    """``work`` on all rows of each key. The keys' groups are of bounded size and stream through sorted partitions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            cols = [t.column(k).to_numpy() for k in keys]
-            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-            start = 0
-            for end in cut.tolist():
-                if (out := work(t.slice(start, end - start))) is not None:
-                    yield out
-                start = end
-            rest = t.slice(start).combine_chunks()
-        if rest is not None and (out := work(rest)) is not None:
-            yield out
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
 def nearest(node: np.ndarray, x: np.ndarray, k: int) -> tuple[list, list]:
     """For each row its nearest k other rows, with their cosines."""
     s = x @ x.T
