@@ -123,17 +123,28 @@ def term_keys(terms: DataFrame, vocab: DataFrame, lx: Lexical = LEXICAL) -> Data
     return both.withColumn("term_idf", F.coalesce(F.max(F.when(F.col("factor") == 1.0, F.col("key_idf"))).over(w), F.max("key_idf").over(w)))
 
 
-def lexical_scores(index: DataFrame, vocab: DataFrame, queries: DataFrame, lexical_weight: float = 0.9, lx: Lexical = LEXICAL) -> DataFrame:
-    """query_id, path, weight, matched (distinct terms), detail (the terms)."""
+def term_paths(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """term, path, part: what each path gives to a term over all index keys that the term reads. Made once for
+    each distinct term, however many queries ask for it."""
+    hits = keys.select("key", F.col("term").alias("asked"), (F.col("key_idf") * F.col("factor")).alias("w")).join(index.withColumnRenamed("term", "key"), "key")
+    return hits.groupBy(F.col("asked").alias("term"), "path").agg(F.sum(F.col("wtf") * F.col("w")).alias("part"))
+
+
+def lexical_scores(index: DataFrame, vocab: DataFrame, queries: DataFrame, lexical_weight: float = 0.9, lx: Lexical = LEXICAL, parts: DataFrame | None = None) -> DataFrame:
+    """query_id, path, weight, matched (distinct terms). parts: term_paths, if they are at hand."""
     terms = query_terms(queries)
     keys = term_keys(terms, vocab, lx)
-    idfs = keys.select("term", "term_idf").distinct()
-    sums = terms.join(idfs, "term").groupBy("query_id").agg(F.sum("term_idf").alias("idf_sum"))
-    reads = terms.join(keys, "term").join(sums, "query_id")
-    hits = reads.join(index, reads["key"] == index["term"]).select("query_id", "path", reads["term"], "n_terms", (F.col("wtf") * F.col("key_idf") / (F.col("idf_sum") * lx.max_weight) * F.col("factor")).alias("part"))
-    per = hits.groupBy("query_id", "path").agg(F.sum("part").alias("raw"), F.sort_array(F.collect_set("term")).alias("terms"), F.max("n_terms").alias("n_terms"))
-    coverage = lx.coverage_base + (1 - lx.coverage_base) * F.size("terms") / F.col("n_terms")
-    return per.select("query_id", "path", (lexical_weight * F.col("raw") * coverage).alias("weight"), F.size("terms").alias("matched"), F.array_join("terms", ", ").alias("detail"))
+    sums = terms.join(keys.select("term", "term_idf").distinct(), "term").groupBy("query_id").agg(F.sum("term_idf").alias("idf_sum"))
+    parts = term_paths(index, keys) if parts is None else parts
+    per = terms.join(parts, "term").groupBy("query_id", "path").agg(F.sum("part").alias("raw"), F.count("*").cast("int").alias("matched"), F.max("n_terms").alias("n_terms"))
+    coverage = lx.coverage_base + (1 - lx.coverage_base) * F.col("matched") / F.col("n_terms")
+    return per.join(sums, "query_id").select("query_id", "path", (lexical_weight * F.col("raw") / (F.col("idf_sum") * lx.max_weight) * coverage).alias("weight"), "matched")
+
+
+def matched_terms(queries: DataFrame, parts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query_id, path, detail: the terms that the wanted pairs (query_id, path) share, sorted; read only for what is shown."""
+    hit = query_terms(queries).select("query_id", "term").join(parts.select("term", "path"), "term").join(wanted.select("query_id", "path"), ["query_id", "path"], "left_semi")
+    return hit.groupBy("query_id", "path").agg(F.array_join(F.sort_array(F.collect_list("term")), ", ").alias("detail"))
 
 
 def specificity(idf: Column, max_idf: Column) -> Column:

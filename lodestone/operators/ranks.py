@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 256
+PARTS = 1024
 
 
 def cut_points(df: DataFrame, key: str, parts: int = PARTS) -> list[float]:
@@ -23,9 +26,13 @@ def global_rank(df: DataFrame, key: str, ties: list[str], descending: bool = Fal
     side = F.col(key) * (-1 if descending else 1)
     cuts = sorted(-c for c in cuts) if descending else cuts
     place: Column = F.lit(0)
+    dealt = df
     if cuts:
-        place = F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(F.array_size(F.filter(F.lit(cuts), lambda c: c < side)))
-    dealt = df.withColumn("_range", place.cast("int"))
+        # A binary search in the JVM; what equals a cut lies behind it, so equal keys share a range.
+        find = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_side", outputCol="_at", handleInvalid="keep")
+        dealt = find.transform(df.withColumn("_side", F.coalesce(side, F.lit(0.0))))
+        place = F.when(F.col(key).isNull(), len(cuts) + 2).otherwise(F.col("_at").cast("int"))
+    dealt = dealt.withColumn("_range", place.cast("int")).drop("_side", "_at")
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # PARTS + 1 rows at most
     sizes = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     order = [F.desc_nulls_last(key) if descending else F.asc_nulls_last(key), *ties]

@@ -36,10 +36,11 @@ class Corpus:
         return self
 
 
-def content_signals(corpus: Corpus, queries: DataFrame, cfg: Retrieval = RETRIEVAL) -> DataFrame:
-    """SIGNAL rows of the words, the exact symbol names and the file names."""
+def content_signals(corpus: Corpus, queries: DataFrame, cfg: Retrieval = RETRIEVAL, parts: DataFrame | None = None) -> DataFrame:
+    """SIGNAL rows of the words (without detail), the exact symbol names and the file names."""
     c = corpus.prepared(cfg)
-    out = lexical.lexical_scores(c.index, c.vocab, queries, cfg.lexical_weight, cfg.lexical).select("query_id", "path", F.lit("LEXICAL").alias("kind"), "weight", "detail")
+    words = lexical.lexical_scores(c.index, c.vocab, queries, cfg.lexical_weight, cfg.lexical, parts)
+    out = words.select("query_id", "path", F.lit("LEXICAL").alias("kind"), "weight", F.lit(None).cast("string").alias("detail"))
     idf = c.vocab.select(F.col("term").alias("candidate"), lexical.specificity(F.col("idf"), F.col("max_idf")).alias("spec"))
     names = lexical.file_name_matches(c.entries, queries).join(idf, "candidate", "left")
     out = out.unionByName(names.select("query_id", "path", F.lit("FILE_NAME").alias("kind"), (cfg.file_name * F.col("share") * F.coalesce("spec", F.lit(0.0))).alias("weight"), base_name(F.col("path")).alias("detail")))
@@ -98,7 +99,9 @@ def _first_of_folders(files: DataFrame) -> DataFrame:
 def retrieve(corpus: Corpus, queries: DataFrame, cfg: Retrieval = RETRIEVAL, hints: DataFrame | None = None, recency: DataFrame | None = None, pins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """queries: query_id, text. hints: query_id, path, kind, detail; recency: path, rank (from 0); pins: query_id,
     path. Returns the signals (SIGNAL) and the ranking: query_id, path, score, rank; pinned files without a rank come last with score 0."""
-    signals = written(content_signals(corpus, queries, cfg), "signals")
+    c = corpus.prepared(cfg)
+    parts = written(lexical.term_paths(c.index, lexical.term_keys(lexical.query_terms(queries), c.vocab, cfg.lexical)), "parts")
+    signals = written(content_signals(corpus, queries, cfg, parts), "signals")
     content = content_scores(signals)
     seeds = written(seeds_of(content, queries, hints, cfg), "seeds")
     structural = None
@@ -123,7 +126,12 @@ def retrieve(corpus: Corpus, queries: DataFrame, cfg: Retrieval = RETRIEVAL, hin
         if cfg.neighbor_boost > 0 and corpus.edges is not None:
             near = graph.neighbours(corpus.edges, hints.filter("kind = 'DIFF_TOUCHED'"))
             signals = signals.unionByName(near.select("query_id", "path", F.lit("SEED_NEIGHBOR").alias("kind"), F.lit(cfg.neighbor_boost).alias("weight"), F.col("seed").alias("detail")))
-    return signals, rank(signals, cfg, pins, hints)
+    ranking = rank(signals, cfg, pins, hints)
+    # The words behind a lexical signal are looked up for ranked files only.
+    told = lexical.matched_terms(queries, parts, ranking).withColumnRenamed("detail", "_words")
+    signals = signals.join(told, ["query_id", "path"], "left")
+    signals = signals.withColumn("detail", F.when(F.col("kind") == "LEXICAL", F.col("_words")).otherwise(F.col("detail"))).select(*SIGNAL)
+    return signals, ranking
 
 
 def rank(signals: DataFrame, cfg: Retrieval = RETRIEVAL, pins: DataFrame | None = None, hints: DataFrame | None = None) -> DataFrame:
