@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.lexical import document_path
+from lodestone.sources.shared import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text of the documents; a null text is empty."""
-    return table(spark, sf_dir, "documents").select(document_path().alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select(document_path().alias("path"), F.coalesce("text", F.lit("")).alias("text")))
 
 
 def benchmark_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:

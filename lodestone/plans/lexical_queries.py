@@ -12,6 +12,7 @@ from lodestone.operators import baselines, lexical
 from lodestone.plans.base import DOCS, TASKS, benchmark_tasks, doc_texts, eval_words, query, table, words
 from lodestone.plans.retrieve import Corpus, content_signals, explained, retrieve, same_directory, seeds_of
 from lodestone.plans.text_queries import BODY, STOP
+from lodestone.sources.shared import spread
 
 IDS = "list_filter(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]{2,}'), lambda w: true)"
 
@@ -43,7 +44,7 @@ LEX = f"""WITH {VOCAB}, {TERMS}, {KEYS}, sums AS (SELECT query_id, sum(term_idf)
 
 
 def corpus(spark, sf_dir) -> Corpus:
-    return Corpus(lexical.document_entries(table(spark, sf_dir, "documents")))
+    return Corpus(lexical.document_entries(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))))
 
 
 @query("a01_postings", f"WITH {postings_sql()} SELECT term, path, round(wtf, 6) AS wtf FROM post")
