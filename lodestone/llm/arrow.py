@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Bytes of text that are in Python objects at once; a longer text is alone.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def texts_map(df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes | None]], dict[str, list]]], schema: StructType) -> DataFrame:

@@ -51,7 +51,7 @@ class _Words(dict):
     """64-bit hashes of words; cleared when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -273,5 +273,13 @@ def query(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """One document of each group of near-duplicates (the smallest id), with all its columns; documents
     without words all stay. Of repeated rows with one id, one stays."""
-    kept = near_duplicates(docs, percent, width).filter("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    ids = near_duplicates(docs, percent, width).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    ids = stage(ids.filter("kept").select(F.col("doc_id").alias("__kept"), "n"), "minhash-kept")
+    few = ids.count() <= BROADCAST_IDS
+
+    def of(which: str) -> DataFrame:
+        own = ids.filter(which).select("__kept")
+        return docs.join(F.broadcast(own) if few else own, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+
+    # Only ids that stand in several rows can be repeated rows; the texts of the others are not shuffled.
+    return of("n = 1").unionByName(of("n > 1").dropDuplicates(["doc_id", "text"]))

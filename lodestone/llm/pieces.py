@@ -29,8 +29,8 @@ from lodestone.llm.arrow import texts_map
 from lodestone.llm.common import clean_name
 
 MARK = "▁"
-#: Entries of each cache of a Python worker: about 200 MB.
-CACHE = 700_000
+#: Entries of each cache of a Python worker: about 90 MB.
+CACHE = 300_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
