@@ -5,9 +5,11 @@ every node's neighbours and reverse neighbours meet in turn (the join of neighbo
 each keeps its nearest ``K``. A node all of whose neighbours lie above the threshold is saturated, and its
 list grows to ``K_WIDE``. Rounds go on until the lists gain next to nothing. Edges above the threshold
 join nodes to components, and within a component all pairs are compared exactly, block against block,
-without emitting them: any link joins two nodes of one component, so link counts are exact there. The
-recall is audited: ``AUDIT`` nodes are compared with all others; if less than ``RECALL`` of their links
-lie within components, the graph starts again from what it has, with more tables.
+without emitting them: any link joins two nodes of one component, so link counts are exact there. A
+node whose whole list lies above the threshold may have more links than its list holds, so it is compared
+with all nodes exactly, and links that leave its component unite the two. The recall is audited: ``AUDIT``
+nodes are compared with all others; if less than ``RECALL`` of their links lie within components, the
+graph starts again from what it has, with more tables, and after the last start all pairs are compared.
 
 Cosines are in double precision. Vectors that are null, empty, zero, or hold a null or a non-finite
 component have no links and are components of their own. A shorter vector counts as filled up with zeros. A null
@@ -32,6 +34,8 @@ from lodestone.llm.components import components
 K, K_WIDE, TABLES, ROUNDS, BUCKET, BLOCK = 10, 40, 12, 4, 48, 256
 REVERSE, AUDIT, RECALL, RESTARTS = 64, 256, 0.999, 2
 GAIN = 0.002
+#: Bytes of vectors that the driver sends out at once to meet all others, and rows of a tile of that product.
+SENT, TILE = 8 << 20, 2048
 LISTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("nbrs", T.ArrayType(T.LongType())), T.StructField("sims", T.ArrayType(T.DoubleType()))])
 
 
@@ -154,6 +158,56 @@ def _block_counts(members: DataFrame, threshold: float) -> DataFrame:
     return by_group(spread, ["root", "i", "j"], count, schema).groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def _crossing(some: DataFrame, every: DataFrame, threshold: float) -> DataFrame | None:
+    """some, every: node, vec, root. u, v: the roots of different components that a link of a node of ``some`` joins.
+    All pairs are compared. ``some`` goes out in pieces of SENT bytes, each past all vectors in place; none without rows."""
+    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+
+    def against(vecs: list[bytes], own: list[int]) -> DataFrame:
+        x, ru = units(vecs), np.array(own)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                y, rv = units(batch.column("vec").to_pylist()), batch.column("root").to_numpy()
+                width, met = min(x.shape[1], y.shape[1]), set()
+                for i in range(0, len(x), TILE):
+                    for j in range(0, len(y), TILE):
+                        near = x[i : i + TILE, :width] @ y[j : j + TILE, :width].T >= threshold
+                        near &= ru[i : i + TILE, None] != rv[None, j : j + TILE]
+                        a, b = np.nonzero(near)
+                        if len(a):
+                            met.update(map(tuple, np.unique(np.stack([ru[i + a], rv[j + b]], 1), axis=0).tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in met], pa.int64()) for k in (0, 1)], names=schema.names)
+
+        return stage(every.mapInArrow(run, schema).distinct(), "nnd-crossing")
+
+    found, vecs, own, size = None, [], [], 0
+    for r in some.select("vec", "root").toLocalIterator():
+        vecs.append(bytes(r["vec"]))
+        own.append(r["root"])
+        size += len(vecs[-1])
+        if size >= SENT:
+            part = against(vecs, own)
+            found, vecs, own, size = part if found is None else found.unionByName(part), [], [], 0
+    if vecs:
+        part = against(vecs, own)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _united(vectors: DataFrame, edges: DataFrame, threshold: float, lists: DataFrame | None) -> DataFrame:
+    """The components of ``edges`` and of all links of nodes whose list does not reach below the threshold; without lists, of all links."""
+    roots = components(edges)
+    parts = vectors.sparkSession.sparkContext.defaultParallelism
+    every = vectors.select("node", "vec").join(roots, "node", "left").select("node", "vec", F.coalesce("root", "node").alias("root"))
+    every = stage(every.repartition(parts), "nnd-rooted")
+    some = every if lists is None else stage(every.join(lists.filter(F.array_min("sims") < threshold).select("node"), "node", "left_anti"), "nnd-open")
+    more = _crossing(some, every, threshold)
+    return roots if more is None or more.isEmpty() else components(edges.unionByName(more))
+
+
 def _audit(vectors: DataFrame, roots: DataFrame, threshold: float) -> float:
     """Share of the links of AUDIT nodes, found by comparing them with all nodes, whose ends are in one component."""
     sample = vectors.select("node", "vec").orderBy(F.xxhash64("node")).limit(AUDIT).collect()
@@ -207,10 +261,14 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
             total = now
             lists = _merged(lists.unionByName(_round(lists, vectors)), threshold)
         edges = lists.select("node", F.explode(F.arrays_zip("nbrs", "sims")).alias("x")).filter(F.col("x.sims") >= threshold).select(F.col("node").alias("u"), F.col("x.nbrs").alias("v"))
-        roots = components(edges)
+        roots = _united(vectors, edges, threshold, lists)
         recall = _audit(vectors, roots, threshold)
         if recall >= RECALL:
             break
+    else:
+        if roots is not None:
+            roots = _united(vectors, edges, threshold, None)
+            recall = _audit(vectors, roots, threshold)
     if roots is None:
         roots = vectors.select("node", F.col("node").alias("root")).limit(0)
     linked = stage(vectors.join(roots, "node").select("node", "root", "m", "vec"), "nnd-members")

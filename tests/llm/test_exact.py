@@ -150,6 +150,31 @@ def test_neighbours_by_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (n.get(i, 0), comp[i], comp[i] == i)
 
 
+def test_links_beyond_full_lists(spark):
+    """Two tight groups of more than K_WIDE vectors whose cross cosines pass the threshold but lie below those inside."""
+    rng = np.random.default_rng(5)
+    a = np.zeros((2, 32))
+    a[0, 0] = 1
+    a[1, :2] = 0.93, np.sqrt(1 - 0.93**2)
+    x = np.concatenate([c + rng.standard_normal((120, 32)) * 0.003 for c in a])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    assert s[:120, 120:].min() >= 0.9 and s[:120, 120:].max() < min(s[:120, :120].min(), s[120:, 120:].min())
+    got = nndescent.query(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {(r.n_links, r.component_id, r.kept) for r in got} == {(239, 0, True), (239, 0, False)}
+
+
+def test_exact_search_after_failed_audits(spark, monkeypatch):
+    """Lists that find nothing: the last failed audit is followed by a search of all pairs."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((20, 16))
+    rows = [(k, (base[k % 20] + rng.standard_normal(16) * 0.05).tolist()) for k in range(60)]
+    empty = spark.createDataFrame([], nndescent.LISTS)
+    monkeypatch.setattr(nndescent, "_tables", lambda *_: empty)
+    got = {r.vec_id: r for r in nndescent.query(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all((got[k].n_links, got[k].component_id, got[k].audit_recall) == (2, k % 20, 1.0) for k in range(60))
+
+
 # 6: pseudonyms
 
 
