@@ -42,7 +42,7 @@ IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"
 KINDS = [("email", EMAIL), ("secret", SECRET), ("ip", IP), ("ssn", SSN), ("date", DATE), ("phone", PHONE), ("card", CARD), ("iban", IBAN)]
 ANY = "|".join(p for _, p in KINDS)
 #: What a text with any of these values has; spares most texts the whole pattern.
-HINT = r"[0-9@]|(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]"
+HINT = r"[0-9@]|AKIA|(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]"
 
 
 def _hash_int(text: Column, modulus: Column | int) -> Column:
@@ -115,11 +115,34 @@ def _fit(value: Column, digits: Column) -> Column:
     return F.array_join(placed, "")
 
 
+def _valid_end(value: Column, least: int, valid: Callable[[Column], Column]) -> Column:
+    """The greatest length at which ``value`` may end, before a separator, and passes the test; null if there is none."""
+    n = F.length(value)
+    ends = F.sequence(F.greatest(n, F.lit(least)), F.lit(least), F.lit(-1))
+    whole = lambda e: F.substr(value, e, F.lit(2)).rlike("^[A-Z0-9](?:[ -]|$)")
+    shorter = F.get(F.filter(ends, lambda e: F.when(whole(e), valid(F.substr(value, F.lit(1), e))).otherwise(False)), F.lit(0))
+    return F.when(valid(value), n).otherwise(shorter)
+
+
+def _at_valid_end(value: Column, end: Column, new: Callable[[Column], Column]) -> Column:
+    return F.when(end.isNull(), value).otherwise(F.concat(new(F.substr(value, F.lit(1), end)), F.substr(value, end + 1, F.length(value))))
+
+
+def _is_card(value: Column) -> Column:
+    d = F.regexp_replace(value, r"\D", "")
+    n = F.length(d)
+    return (n >= 13) & (luhn_check(F.substr(d, F.lit(1), n - 1)) == F.substr(d, n, F.lit(1)))
+
+
 def permute_card(value: Column, key: str) -> Column:
+    return _at_valid_end(value, _valid_end(value, 13, _is_card), lambda v: _new_card(v, key))
+
+
+def _new_card(value: Column, key: str) -> Column:
     d = F.regexp_replace(value, r"\D", "")
     n = F.length(d)
     body = F.concat(F.substr(d, F.lit(1), F.lit(1)), permute_text(F.substr(d, F.lit(2), n - 2), key, "card"))
-    return F.when(luhn_check(F.substr(d, F.lit(1), n - 1)) == F.substr(d, n, F.lit(1)), _fit(value, F.concat(body, luhn_check(body)))).otherwise(value)
+    return _fit(value, F.concat(body, luhn_check(body)))
 
 
 def _mod97(chars: Column) -> Column:
@@ -127,13 +150,21 @@ def _mod97(chars: Column) -> Column:
     return F.aggregate(F.split(chars, ""), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97).cast("int"))
 
 
+def _is_iban(value: Column) -> Column:
+    v = F.regexp_replace(value, " ", "")
+    return (F.length(v) >= 15) & (_mod97(F.concat(F.substr(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))) == 1)
+
+
 def permute_iban(value: Column, key: str) -> Column:
+    return _at_valid_end(value, _valid_end(value, 15, _is_iban), lambda v: _new_iban(v, key))
+
+
+def _new_iban(value: Column, key: str) -> Column:
     v = F.regexp_replace(value, " ", "")
     country, account = F.substring(v, 1, 2), F.substr(v, F.lit(5), F.length(v))
-    valid = _mod97(F.concat(account, F.substring(v, 1, 4))) == 1
     new = permute_text(account, key, "iban")
     check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, _fit(value, F.concat(country, check, new))).otherwise(value)
+    return _fit(value, F.concat(country, check, new))
 
 
 def permute_date(value: Column, key: str) -> Column:

@@ -178,6 +178,17 @@ def test_exact_search_after_failed_audits(spark, monkeypatch):
 # 6: pseudonyms
 
 
+def test_values_that_end_before_their_match(spark):
+    """A card or an account number followed by what its pattern takes in too, and a key in a text without digits."""
+    values = ["4111111111111111", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "AKIA" + "ABCDEFGHIJKLMNOP"]
+    tails = [" 12 items", " BIC COBADEFFXXX", " BIC COBADEFFXXX", " end"]
+    rows = [(k, f"pay {v}{t}") for k, (v, t) in enumerate(zip(values, tails, strict=True))] + [(k + 10, f"pay {v}.") for k, v in enumerate(values)]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (v, t) in enumerate(zip(values, tails, strict=True)):
+        alone = got[k + 10].removeprefix("pay ").removesuffix(".")
+        assert alone != v and got[k] == f"pay {alone}{t}"
+
+
 def test_permutation_is_one_to_one(spark):
     d = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("v"))
     out = d.select(pii.permute_digits(F.col("v"), "k", "x").alias("p")).collect()
