@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import clean_name, crc32_text
+from lodestone.llm.common import clean_name, crc32_text, stage
 from lodestone.llm.prefix import before, hash_digits
 
 BITS, DIMS = 4, 3
@@ -60,16 +60,18 @@ def quantise_size(col: Column) -> Column:
 
 
 def hilbert(dims: list[Column]) -> Column:
-    """Curve index of a cell. The table has 2**(BITS*DIMS) = 4,096 entries whatever the data."""
+    """Curve index of a cell. The table has 2**(BITS*DIMS) = 4,096 entries whatever the data; it is one
+    constant of the plan, a string that is split when the query is planned."""
     side = 1 << BITS
-    table = [curve_index([i // side**2, i // side % side, i % side], BITS) for i in range(side**DIMS)]
+    table = ",".join(str(curve_index([i // side**2, i // side % side, i % side], BITS)) for i in range(side**DIMS))
     cell = (dims[0] * side + dims[1]) * side + dims[2]
-    return F.element_at(F.lit(table), (cell + 1).cast("int"))
+    return F.element_at(F.split(F.lit(table), ","), (cell + 1).cast("int")).cast("int")
 
 
 def shard_hilbert(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under law ``rows``), and the curve
-    index and quantised dimensions, of which a manifest is made."""
+    index and quantised dimensions, of which a manifest is made. The texts are read once: what places a row
+    is written to the shared folder first."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = clean_name(docs, "doc_id", "text", "lang", "source").select(
         "doc_id",
@@ -82,6 +84,7 @@ def shard_hilbert(docs: DataFrame, shards: int = 8) -> DataFrame:
     d = d.withColumn("curve", hilbert([F.col("q_lang"), F.col("q_source"), F.col("q_size")])).withColumn("one", F.lit(1))
     names = [f"h{k}" for k in range(HASH_LEVELS)]
     d = d.withColumns(dict(zip(names, hash_digits(F.xxhash64("doc_id", "text_crc32"), HASH_BITS, HASH_LEVELS), strict=True)))
+    d = stage(d, "hilbert")
     ranked = before(d, ["curve"], names, ["text_crc32", "doc_id", "size"], "one", "inner")
     cells = d.groupBy("curve").agg(F.count("*").alias("n"))  # 4,096 rows at most
     cells = cells.select(
