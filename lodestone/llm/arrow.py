@@ -14,10 +14,16 @@ from pyspark.sql.types import StructType
 CHUNK = 2 << 20
 
 
+def decoded(text: bytes | None) -> str:
+    """Bytes that are not UTF-8 become U+FFFD, so that no row stops a job."""
+    return (text or b"").decode(errors="replace")
+
+
 def texts_map(df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes | None]], dict[str, list]]], schema: StructType) -> DataFrame:
     """Adds columns that Python computes from a text column, which itself is dropped.
 
-    ``make`` is called once a task and gives a function from texts (UTF-8 bytes or None) to columns."""
+    ``make`` is called once a task and gives a function from texts (UTF-8 bytes or None) to columns; its ``close``, if
+    it has one, is called when the task has no more texts."""
     keep = [c for c in df.columns if c != text]
     out = StructType([df.schema[c] for c in keep] + list(schema))
     arrow = to_arrow_schema(out)
@@ -38,6 +44,11 @@ def texts_map(df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes
                 arrays = [batch.column(c).slice(at, end - at) for c in keep] + [pa.array(made[c], arrow.field(c).type) for c in names]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
                 at = end
+        # Workers are used again by later stages: what this task held goes back.
+        if hasattr(work, "close"):
+            work.close()
+        del work
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)
 

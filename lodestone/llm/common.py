@@ -53,6 +53,12 @@ def crc32_text(col: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(col.cast("string"), F.lit("")), "UTF-8"))
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key of a session's pseudonyms. Tests over made-up documents may go without one, in local mode or on the tables'
+    own made-up values; whoever runs over real documents sets it."""
+    return spark.conf.get("spark.lodestone.pseudonymKey", "made-up documents need no secret")
+
+
 def clean_name(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns, so that no extra column can clash with one that an operator adds.
     A column that is not there counts as null."""
