@@ -72,8 +72,8 @@ def aside(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *[F.col(f"`{c}`") for c in columns])
 
 
-#: Bits of a :func:`member_bits` table: 16 MB in 4,096 rows at most, whatever the number of keys.
-MEMBER_BITS = 1 << 27
+#: Bits of a :func:`member_bits` table: 4 MB in 1,024 rows at most, whatever the number of keys.
+MEMBER_BITS = 1 << 25
 
 
 def member_bits(keys: DataFrame, key: str) -> DataFrame:
