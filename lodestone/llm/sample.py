@@ -1,52 +1,38 @@
-"""Bounded samples for fitting: the same rows in every run, about evenly over classes, never more than the bound."""
+"""Bounded samples for fitting: the same rows in every run, those with the smallest hashes of their ids."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import stage
 
-def sample_by_class(df: DataFrame, label: str, per_class: int, max_classes: int, columns: list[Column]) -> list:
-    """Up to ``per_class`` rows of each class, those with the smallest hash of doc_id, brought to the
-    driver. df: doc_id, ``label`` and what ``columns`` need. Of more than ``max_classes`` classes the
-    most frequent are taken. Counting reads no texts; reading them stops at rows whose hash is too large."""
-    sizes = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
-    if not sizes:
-        return []
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    limit = F.lit(-1)
-    for row in sizes:
-        # 1.2 times and 20 more, so that the smallest per_class are nearly always among them.
-        limit = F.when(F.col(label) == row[0], min(1_000_000, int((1.2 * per_class + 20) / row[1] * 1_000_000) + 1)).otherwise(limit)
-    rows = df.filter(place < limit).select(F.col(label).alias("label"), F.xxhash64("doc_id").alias("order"), *columns).limit(2 * (per_class + 20) * len(sizes)).collect()
-    taken: dict = {}
-    out = []
-    for row in sorted(rows, key=lambda r: (r["order"], *[str(x) for x in r])):
-        taken[row["label"]] = taken.get(row["label"], 0) + 1
-        if taken[row["label"]] <= per_class:
-            out.append(row)
-    return out
 
+def chosen_texts(keys: DataFrame, docs: DataFrame, per_class: int | Callable[[int], int], max_classes: int, name: str) -> tuple[DataFrame | None, dict]:
+    """The texts of ``per_class`` ids at most of each class (or of a number that follows from the number of classes), and the number of rows of each class. keys: doc_id (not null), label;
+    docs: doc_id, text. Of more than ``max_classes`` classes the most frequent are taken.
 
-def sample_texts(keys: DataFrame, docs: DataFrame, per_class: int, max_classes: int) -> list:
-    """Up to ``per_class`` rows (label, text) of each class, those with the smallest hash of doc_id, brought
-    to the driver. keys: doc_id, label, an id once; docs: doc_id, text. The ids are chosen without the
-    texts; then at most ``2 * (per_class + 20) * max_classes`` of them are broadcast to the documents, so
-    no text is shuffled but those taken. Of repeated rows of an id the greatest text counts."""
-    sizes = keys.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_classes).collect()
+    Ids are chosen without texts: those whose hash is small enough that 1.2 times as many and 20 more are expected, each
+    once; of these, which are so few, the smallest. They are broadcast to the documents, and the texts (of repeated rows of an id
+    the greatest) are written to the shared folder: doc_id, label, place (0, 1, … within the class), text. None without classes."""
+    sizes = {r[0]: r[1] for r in keys.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_classes).collect()}
     if not sizes:
-        return []
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    limit = F.lit(-1)
-    for row in sizes:
-        limit = F.when(F.col("label") == row[0], min(1_000_000, int((1.2 * per_class + 20) / row[1] * 1_000_000) + 1)).otherwise(limit)
-    chosen = keys.filter(place < limit).select("label", "doc_id", F.xxhash64("doc_id").alias("order")).limit(2 * (per_class + 20) * len(sizes)).collect()
+        return None, {}
+    per_class = per_class if isinstance(per_class, int) else per_class(len(sizes))
+    spark, kind = keys.sparkSession, keys.schema["label"].dataType.simpleString()
+    least = [(c, min(1_000_000, int((1.2 * per_class + 20) / n * 1_000_000) + 1)) for c, n in sizes.items()]
+    limits = F.broadcast(spark.createDataFrame(least, f"label {kind}, least int"))  # a row for each class
+    low = keys.join(limits, "label").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("least"))
+    found = low.select("label", "doc_id", F.xxhash64("doc_id").alias("order")).distinct().collect()
     taken: dict = {}
     ids = []
-    for row in sorted(chosen, key=lambda r: (r["order"], str(r["doc_id"]))):
-        taken[row["label"]] = taken.get(row["label"], 0) + 1
-        if taken[row["label"]] <= per_class:
-            ids.append((row["doc_id"], row["label"], row["order"]))
-    wanted = docs.sparkSession.createDataFrame(ids, "doc_id long, label int, order long")
-    rows = docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label", "order").agg(F.max("text").alias("text")).collect()
-    return sorted(rows, key=lambda r: (r["order"], r["doc_id"]))
+    for r in sorted(found, key=lambda r: (r["order"], r["doc_id"])):
+        taken[r["label"]] = place = taken.get(r["label"], -1) + 1
+        if place < per_class:
+            ids.append((r["doc_id"], r["label"], place))
+    wanted = F.broadcast(spark.createDataFrame(ids, f"doc_id long, label {kind}, place int"))  # per_class rows for each class at most
+    on = ["doc_id", "label"] if "label" in docs.columns else ["doc_id"]
+    texts = docs.join(wanted, on).groupBy("doc_id", "label", "place").agg(F.max("text").alias("text"))
+    return stage(texts, name), sizes

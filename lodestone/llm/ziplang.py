@@ -1,31 +1,35 @@
 """Language identification by compression.
 
-For each language of the training rows a raw-content zstandard dictionary is cut from a bounded sample. A
-text is compressed, in blocks, with each of them; the language with the smallest sum is chosen, and the
-answer counts as rejected when the margin over the second is narrow. Texts of under ``SHORT`` bytes are
-also compressed in parts (halves and single words), since sizes are whole bytes.
+For each language of the training rows a raw-content zstandard dictionary is put together from a bounded sample: of each
+sampled text as many bytes, in pieces from all over it. A text is compressed, in blocks, with each of them; the language
+with the smallest sum is chosen, and the answer counts as rejected when the margin over the second is narrow. Texts of
+under ``SHORT`` bytes are also compressed in parts (halves and single words), since sizes are whole bytes.
 
-Bounds of the sample: ``DOCS`` rows and ``DICT`` bytes for a language, ``LANGS`` languages.
+Bounds of the fit: ``DOCS`` ids for a language, ``DICT`` bytes for its dictionary and ``TOTAL`` for all of them, which the
+languages share evenly where they are many, and ``LANGS`` languages, more than there are.
 
-A null text or one without a letter is ``und`` with score 0. Equal texts are treated alike; ties go to the
-more frequent language of the training rows. Without training rows every text is ``und``. Long texts are
-compressed whole, empty tables give no rows, other columns are not read.
+A null text or one without a letter is ``und`` with score 0. Bytes that are not UTF-8 are read as U+FFFD. Equal texts are
+treated alike; ties go to the more frequent language of the training rows. Without training rows every text is ``und``. Training
+rows without an id teach nothing. Long texts are compressed whole, empty tables give no rows, other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from zlib import crc32
 
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.arrow import texts_map
+from lodestone.llm.arrow import decoded, texts_map
 from lodestone.llm.common import clean_name, crc32_text
-from lodestone.llm.sample import sample_by_class
+from lodestone.llm.sample import chosen_texts
 
-DOCS, DICT, LANGS = 400, 110_000, 400
+DOCS, DICT, TOTAL, LANGS = 400, 110_000, 44_000_000, 10_000
+#: Bytes of a piece of a sampled text, and of all its pieces at most.
+PIECE, SHARE = 100, 1_000
 BLOCK, SHORT, LEVEL = 4096, 300, 5
 MARGIN = 0.01
 SCHEMA = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -40,17 +44,39 @@ def plain(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_BLANK).split())
 
 
+def pieces(text: bytes, share: int) -> bytes:
+    """About ``share`` bytes of a plain text in pieces from all over it, each from a place in its own part of the text that
+    the text's crc32 gives, and between blanks."""
+    if len(text) <= share:
+        return text
+    n = max(1, share // PIECE)
+    out, seed = [], crc32(text)
+    for k in range(n):
+        low, high = k * len(text) // n, (k + 1) * len(text) // n
+        at = low + (seed + k * 0x9E3779B1) % max(1, high - low - share // n)
+        start = text.find(b" ", at, high) + 1 or at
+        out.append(text[start : start + share // n].rsplit(b" ", 1)[0])
+    return b" ".join(out)
+
+
 def fit(docs: DataFrame) -> list[tuple[str, bytes]]:
     """docs: doc_id, text, lang. A dictionary for each language, the most frequent first."""
-    d = docs.filter("lang is not null and text is not null")
-    rows = sample_by_class(d, "lang", DOCS, LANGS, [F.col("text")])
-    texts: dict[str, list[bytes]] = {}
-    for r in rows:
-        texts.setdefault(r["label"], []).append(plain(r["text"]))
+    d = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", F.col("lang").alias("label"))
+    per_lang = lambda n: min(DOCS, max(20, TOTAL // n // PIECE))
+    chosen, sizes = chosen_texts(d.select("doc_id", "label"), d, per_lang, LANGS, "ziplang-sample")
+    if chosen is None:
+        return []
+    size = min(DICT, TOTAL // len(sizes))
+    # What a text gives at most: more than its even part where texts are short or few.
+    make = lambda: lambda texts: {"piece": [pieces(plain(decoded(t)), min(size, SHARE)) for t in texts]}
+    got = texts_map(chosen.select("label", "place", "text"), "text", make, T.StructType([T.StructField("piece", T.BinaryType())]))
+    texts: dict[str, list[tuple[int, bytes]]] = {}
+    for r in got.collect():
+        texts.setdefault(r["label"], []).append((r["place"], bytes(r["piece"])))
     out = []
-    for lang, own in sorted(texts.items(), key=lambda x: (-len(x[1]), x[0])):
-        share = max(600, DICT // len(own))
-        out.append((lang, b" ".join(t[:share] for t in own)[:DICT]))
+    for lang in sizes:
+        own = [t for _, t in sorted(texts.get(lang, []))]
+        out.append((lang, b" ".join(pieces(t, max(PIECE, size // max(1, len(own)))) for t in own)[:size]))
     return out
 
 
@@ -64,7 +90,7 @@ class Classifier:
             self.zip.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def __call__(self, text: bytes | None) -> tuple[str, float, bool]:
-        own = (text or b"").decode()
+        own = decoded(text)
         if not self.langs or not any(c.isalpha() for c in own):
             return "und", 0.0, True
         text = plain(own)
@@ -82,7 +108,7 @@ class Classifier:
 
 def classify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
     """lang_pred, score and rejected in place of the text."""
-    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # LANGS * DICT bytes at most
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # TOTAL bytes at most
 
     def make():
         of = Classifier(sent.value)
