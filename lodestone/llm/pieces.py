@@ -7,10 +7,10 @@ of higher priority would have joined across their border. The ids are recovered
 
 The model's pieces hold their white-space mark only at the front (verified when it is loaded), so the
 encoding of a text is that of its stretches between blanks; the codes of stretches are kept in a bounded
-cache. Runs of blanks have pieces of equal score, to which the pair test doesn't apply: a stretch
+cache for as long as a task lasts. Runs of blanks have pieces of equal score, to which the pair test doesn't apply: a stretch
 that begins with more than one blank is merged step by step, in the library's order.
 
-A null text is empty and has no ids. Every character without a piece becomes its bytes. Empty tables
+A null text is empty and has no ids. Bytes that are not UTF-8 are read as U+FFFD. Every character without a piece becomes its bytes. Empty tables
 give no rows, repeated rows are coded alike, texts are coded whole whatever their length.
 """
 
@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.arrow import texts_map
+from lodestone.llm.arrow import decoded, texts_map
 from lodestone.llm.common import clean_name
 
 MARK = "▁"
-#: Entries of each cache of a Python worker: about 90 MB.
+#: Entries of each cache of a task; a full one keeps its newer half. About 80 MB together, given back when the task ends.
 CACHE = 300_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -59,14 +59,35 @@ def _fields(data: bytes) -> list[tuple[int, int | bytes]]:
     return out
 
 
+class _Recent:
+    """The last entries used: two generations, of which the older goes when the younger has half of CACHE."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= CACHE // 2:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 _CODERS: dict[bytes, PieceCoder] = {}
 
 
 def coder_of(model: bytes) -> PieceCoder:
-    """One coder for all tasks of a Python worker, so that they share its caches."""
+    """The coder of a Python worker, whose tables are built once; its caches are empty when a task asks for it."""
     key = hashlib.sha256(model).digest()
     if key not in _CODERS:
+        _CODERS.clear()
         _CODERS[key] = PieceCoder(model)
+    _CODERS[key].forget()
     return _CODERS[key]
 
 
@@ -121,8 +142,10 @@ class PieceCoder:
                     a, b = self.ids.get(p[:cut]), self.ids.get(p[cut:])
                     if a is not None and b is not None and a in self.rank and b in self.rank:
                         self.pair[self.rank[a], self.rank[b]] = self.rank[i]
-        self.plain: dict[str, tuple[int, ...]] = {}
-        self.agree: dict[int, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.plain, self.agree = _Recent(), _Recent()
 
     def _merge(self, text: str) -> list[int]:
         """Step-by-step merging, the best score first and the leftmost of equals; stops before the whole
@@ -197,9 +220,7 @@ class PieceCoder:
             if start and before >= 0:
                 fits = known.get(before << 20 | token)
                 if fits is None:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    fits = known[before << 20 | token] = self.compatible(before, token)
+                    known.put(before << 20 | token, fits := self.compatible(before, token))
                 if not fits:
                     continue
             last[at + 1], size[at + 1], done = token, length, at
@@ -223,18 +244,16 @@ class PieceCoder:
     def of(self, text: str) -> tuple[int, ...]:
         got = self.plain.get(text)
         if got is None:
-            if len(self.plain) >= CACHE:
-                self.plain.clear()
             got = tuple(self.blanks(text) if text[:2] == MARK * 2 else self.stretch(text))
             if len(text) <= 64:
-                self.plain[text] = got
+                self.plain.put(text, got)
         return got
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         out: list[int] = []
-        extend, known, of = out.extend, self.plain.get, self.of
+        extend, of = out.extend, self.of
         newline = self.byte[10] if "\n" not in self.ids else None
         lines = (MARK + text.replace(" ", MARK)).split("\n") if newline is not None else [MARK + text.replace(" ", MARK)]
         for k, line in enumerate(lines):
@@ -242,12 +261,12 @@ class PieceCoder:
                 out.append(newline)
             first, *words = line.split(MARK)
             if first:
-                extend(known(first) or of(first))
+                extend(self.plain.young.get(first) or of(first))
             run = 1
             for w in words:
                 if w:
                     w = MARK * run + w
-                    extend(known(w) or of(w))
+                    extend(self.plain.young.get(w) or of(w))
                     run = 1
                 else:
                     run += 1
@@ -311,9 +330,10 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataF
         coder = coder_of(model)
 
         def work(texts: list[bytes | None]) -> dict[str, list]:
-            ids = [coder.encode((t or b"").decode()) for t in texts]
+            ids = [coder.encode(decoded(t)) for t in texts]
             return {"ids": ids, "decoded": [coder.decode(x) for x in ids]}
 
+        work.close = coder.forget
         return work
 
     return texts_map(docs, text, make, IDS)
@@ -329,12 +349,13 @@ def digests(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
         def work(texts: list[bytes | None]) -> dict[str, list]:
             out: dict[str, list] = {n: [] for n in SCHEMA.names}
             for t in texts:
-                ids = coder.encode((t or b"").decode())
+                ids = coder.encode(decoded(t))
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
             return out
 
+        work.close = coder.forget
         return work
 
     return texts_map(docs, text, make, SCHEMA)

@@ -3,12 +3,12 @@
 The words of a batch of documents are numbered so that no two documents share a number, the suffixes of
 all of them are sorted by prefix doubling, and the longest common prefixes of neighbours in that order
 (the bounds of the LCP intervals) give, for every word, the longest substring beginning there that occurs
-again in its document. The spans of maximal repeats of ``MIN_WORDS`` words or more are united; a document
-is dropped if they cover too much of it or if one of them is too long.
+again in its document. The spans of maximal repeats are united, those of ``MIN_WORDS`` words or more and again those of
+``PASSAGE_WORDS`` or more; a document is dropped if they cover too much of it or if one of them is too long.
 
-A null text counts as empty: no words, base_failed, not kept. Empty tables give no rows, repeated rows
-are judged alike, long texts are judged whole (alone in their batch if need be), other columns are
-not read.
+A null text counts as empty: no words, base_failed, not kept. Bytes that are not UTF-8 count as they are; word_chars
+counts U+FFFD for them. Empty tables give no rows, repeated rows are judged alike, long texts are judged whole (alone in their
+batch if need be; some 60 bytes of memory for each word and 150 for each different one), other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,102 +18,132 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.arrow import texts_map
-from lodestone.llm.common import clean_name
+from lodestone.llm.arrow import decoded, texts_map
+from lodestone.llm.common import aside, clean_name
 
 MIN_WORDS = 8
-MAX_COVERED = 0.3
+#: A repeat of so many words is a passage; passages may cover this share of a document. Documents with a repeated line of
+#: eight or ten words are common and good, so the shorter repeats have only the base rule's limit.
+PASSAGE_WORDS, MAX_COVERED = 16, 0.2
 #: The longest repeat may have as many words, or this share of the document if that is more.
 MAX_REPEAT, MAX_REPEAT_SHARE = 60, 0.15
 WHITE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
+#: Bytes of a text whose words are objects at once.
+PIECE = 4 << 20
+#: Suffixes that are gone through at a time.
+STRIDE = 1 << 16
 
-SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat")])
+SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_passage_words", "longest_repeat")])
 
 
-def suffix_ranks(ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """ranks[m][i]: how many suffixes are smaller than suffix i by their first 2**m words. ids must not be
-    shared between documents; ends[i] is the end of i's document. Only suffixes that still share their
-    rank are sorted again."""
+def suffix_order(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The suffixes in order. ids must not be shared between documents; ends[i] is the end of i's document. By prefix
+    doubling, of which only the last ranks are kept; only suffixes that still share their rank are sorted again."""
     n = len(ids)
-    starts = np.concatenate(([0], np.cumsum(np.bincount(ids))))
+    starts = np.concatenate(([0], np.cumsum(np.bincount(ids)))).astype(np.int32)
     rank = starts[ids]
-    out, k = [rank], 1
-    active = np.flatnonzero((starts[ids + 1] - rank) > 1)
+    active = np.flatnonzero((starts[ids + 1] - rank) > 1).astype(np.int32)
+    del starts
+    k = 1
     while len(active):
-        nxt = active + k
-        inside = nxt < ends[active]
-        second = np.where(inside, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        order = np.lexsort((second, rank[active])) if n > 2_000_000_000 else np.argsort(rank[active] * (n + 2) + second, kind="stable")
-        sorted_ids = active[order]
-        r, s = rank[sorted_ids], second[order]
+        nxt = active.astype(np.int64) + k
+        second = np.where(nxt < ends[active], rank[np.minimum(nxt, n - 1)] + 1, 0).astype(np.int32)
+        del nxt
+        order = np.argsort(rank[active].astype(np.int64) * (n + 2) + second, kind="stable")
+        active, second = active[order], second[order]
+        del order
+        r = rank[active]
         new_group = np.concatenate(([True], r[1:] != r[:-1]))
-        new_key = new_group | np.concatenate(([True], s[1:] != s[:-1]))
-        at = np.arange(len(r))
-        group_at = np.maximum.accumulate(np.where(new_group, at, 0))
-        key_at = np.maximum.accumulate(np.where(new_key, at, 0))
-        rank = rank.copy()
-        rank[sorted_ids] = r + key_at - group_at
-        out.append(rank)
-        last = np.concatenate((new_key[1:], [True]))
-        active = sorted_ids[~(new_key & last)]
+        new_key = new_group | np.concatenate(([True], second[1:] != second[:-1]))
+        del second
+        at = np.arange(len(r), dtype=np.int32)
+        rank[active] = r + np.maximum.accumulate(np.where(new_key, at, 0)) - np.maximum.accumulate(np.where(new_group, at, 0))
+        active = active[~(new_key & np.concatenate((new_key[1:], [True])))]
         active.sort()
         k *= 2
-    return out
+    order = np.empty(n, np.int32)
+    order[rank] = np.arange(n, dtype=np.int32)
+    return order
 
 
 def longest_repeats(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each word the length of the longest substring from there that its document has twice."""
+    """For each word the length of the longest substring from there that its document has twice: the longest
+    common prefix with either neighbour in the order of the suffixes. The first words are compared for all suffixes at once;
+    what shares more than those is gone through in the order of the text, where each prefix is at most one word
+    shorter than the one before, so the whole takes linear time and a few numbers for each word."""
     n = len(ids)
-    ranks = suffix_ranks(ids, ends)
-    order = np.empty(n, np.int64)
-    order[ranks[-1]] = np.arange(n)
-    a, b = order[:-1].copy(), order[1:].copy()
-    lcp = np.zeros(max(0, n - 1), np.int64)
-    live = np.flatnonzero(ranks[0][a] == ranks[0][b])  # neighbours with no common word need no more
-    for m in range(len(ranks) - 1, -1, -1):
-        x, y = a[live], b[live]
+    order = suffix_order(ids, ends)
+    a, b = order[:-1], order[1:]
+    lcp = np.zeros(max(0, n - 1), np.int32)
+    live = np.arange(len(lcp), dtype=np.int32)
+    for k in range(MIN_WORDS):
+        x, y = a[live].astype(np.int64) + k, b[live].astype(np.int64) + k
         there = (x < n) & (y < n)
-        same = np.zeros(len(live), bool)
-        same[there] = ranks[m][x[there]] == ranks[m][y[there]]
-        hit = live[same]
-        lcp[hit] += 1 << m
-        a[hit] += 1 << m
-        b[hit] += 1 << m
-    best = np.zeros(n, np.int64)
-    best[order[:-1]] = lcp
-    best[order[1:]] = np.maximum(best[order[1:]], lcp)
+        same = there & (ids[np.minimum(x, n - 1)] == ids[np.minimum(y, n - 1)])
+        live = live[same]
+        lcp[live] = k + 1
+    # live: pairs with MIN_WORDS common words or more, now by the place of the later suffix in the text.
+    live = live[np.argsort(b[live], kind="stable")]
+    word, h, before, longer = memoryview(ids), 0, -2, np.empty(len(live), np.int32)
+    for at in range(0, len(live), STRIDE):
+        part = live[at : at + STRIDE]
+        for k, (x, y) in enumerate(zip(a[part].tolist(), b[part].tolist(), strict=True), at):
+            h = max(h - 1, MIN_WORDS) if y == before + 1 else MIN_WORDS
+            while x + h < n and y + h < n and word[x + h] == word[y + h]:
+                h += 1
+            longer[k], before = h, y
+    lcp[live] = longer
+    best = np.zeros(n, np.int32)
+    best[a] = lcp
+    best[b] = np.maximum(best[b], lcp)
     return best
 
 
+def _word_ids(text: bytes, base: int) -> tuple[np.ndarray, int]:
+    """The words' numbers from ``base`` on, by first appearance, and how many words differ. Pieces of a long text are split
+    one after the other, so its words are never all in memory as objects."""
+    number: dict[bytes, int] = {}
+    parts, at = [], 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end] not in WHITE:
+            end += 1
+        words = text[at:end].split()
+        parts.append(np.fromiter([number.setdefault(w, len(number) + base) for w in words], np.int32, len(words)))
+        at = end
+    return (np.concatenate(parts) if parts else np.empty(0, np.int32)), len(number)
+
+
 def measure(texts: list[bytes | None], min_words: int = MIN_WORDS) -> dict[str, list]:
+    """min_words: the shortest repeat that covers."""
     out: dict[str, list] = {n: [] for n in SCHEMA.names}
-    ids: list[int] = []
-    sizes, base = [], 0
+    parts: list[np.ndarray] = []
+    base = 0
     for text in texts:
         text = text or b""
-        words = text.split()
-        number: dict[bytes, int] = {}
-        ids.extend([number.setdefault(w, len(number) + base) for w in words])
-        base += len(number)
-        sizes.append(len(words))
-        chars = len(text.decode())
+        own, distinct = _word_ids(text, base)
+        parts.append(own)
+        base += distinct
+        chars = len(decoded(text))
         out["word_chars"].append(chars - (len(text) - len(text.translate(None, WHITE))))
         out["n_symbols"].append(len(text) - len(text.translate(None, SYMBOLS)))
         lines = [line for line in text.split(b"\n") if line.strip(WHITE)]
         out["n_dup_lines"].append(len(lines) - len(set(lines)))
+    sizes = [len(x) for x in parts]
     count = np.array(sizes, np.int64)
     stop = np.cumsum(count)
-    covered, longest = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    if ids:
-        n, has = len(ids), np.flatnonzero(count)
-        best = longest_repeats(np.array(ids, np.int64), np.repeat(stop, count))
-        start = np.flatnonzero(best >= min_words)
-        edge = np.bincount(start, minlength=n + 1) - np.bincount(start + best[start], minlength=n + 1)
-        inside = (np.cumsum(edge)[:n] > 0).astype(np.int64)
+    covered, passages, longest = (np.zeros(len(texts), np.int64) for _ in range(3))
+    if base:
+        ids, has = np.concatenate(parts), np.flatnonzero(count)
+        n = len(ids)
+        best = longest_repeats(ids, np.repeat(stop.astype(np.int32), count))
         first = (stop - count)[has]
-        covered[has] = np.add.reduceat(inside, first)
+        for least, out_of in ((min_words, covered), (PASSAGE_WORDS, passages)):
+            start = np.flatnonzero(best >= least)
+            edge = np.bincount(start, minlength=n + 1) - np.bincount(start + best[start], minlength=n + 1)
+            out_of[has] = np.add.reduceat((np.cumsum(edge)[:n] > 0).astype(np.int64), first)
         longest[has] = np.maximum.reduceat(best, first)
-    return out | {"n_words": sizes, "n_repeat_words": covered.tolist(), "longest_repeat": longest.tolist()}
+    return out | {"n_words": sizes, "n_repeat_words": covered.tolist(), "n_passage_words": passages.tolist(), "longest_repeat": longest.tolist()}
 
 
 def judged(measured: DataFrame) -> DataFrame:
@@ -121,7 +151,7 @@ def judged(measured: DataFrame) -> DataFrame:
     words, covered = F.col("n_words"), F.col("n_repeat_words")
     base = (words < 20) | (100 * covered > 30 * words)
     limit = F.greatest(F.lit(float(MAX_REPEAT)), MAX_REPEAT_SHARE * words)
-    keeps = (covered <= MAX_COVERED * words) & (F.col("longest_repeat") <= limit)
+    keeps = (F.col("n_passage_words") <= MAX_COVERED * words) & (F.col("longest_repeat") <= limit)
     return measured.withColumns({"base_failed": base, "kept": ~base & keeps, "covered_fraction": F.when(words > 0, covered / words).otherwise(0.0)})
 
 
@@ -131,7 +161,5 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, whole and with all their columns."""
-    carried = docs.withColumn("__text", F.col("text"))
-    kept = judged(texts_map(carried, "__text", lambda: measure, SCHEMA)).filter("kept")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that are kept, whole and with all their columns, whatever they are called."""
+    return judged(texts_map(aside(docs, "text"), "text", lambda: measure, SCHEMA)).filter("kept").select("row.*")
