@@ -14,9 +14,14 @@ Values are found by pattern, validated, and permuted within their own format und
 A permutation has no collisions: equal values get equal pseudonyms in every document, different ones
 of a format stay different. Numbers that fail their test are left as they are.
 
-A null text stays null with no findings, an empty text stays empty. Long texts are cut at the matches
-only. Repeated rows are treated alike, an empty table gives no rows; other columns pass through, except
-that the added columns replace columns of the same names.
+Card and account numbers are looked for in a second pass, in whole runs of digits (or of capitals and digits), at every
+place in them where a number may begin and end: what stands before or behind a number does not hide it. Runs are taken
+up to 400 characters long; a number that lies across the end of a longer run is not found.
+
+The key is the caller's: who holds it can trace the permutation back, so it belongs in no source file. A null text stays null
+with no findings, an empty text stays empty. Long texts are cut at the matches only. Repeated rows are treated alike, an empty
+table gives no rows; other columns pass through whatever they are called, except that n_found and n_changed replace
+columns of these names if they are asked for.
 """
 
 from __future__ import annotations
@@ -26,23 +31,29 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY, ROUNDS = "lodestone-production-key", 8
+from lodestone.llm.common import clean_name
+
+ROUNDS = 8
 DAYS_A, DAYS_B = 271, 270
 
 _LOCAL = r"A-Za-z0-9._%+\-"
-EMAIL = rf"(?<![{_LOCAL}])[{_LOCAL}]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}}"
-SECRET = r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}["']?[^\s"']{6,})"""
+EMAIL = rf"(?<![{_LOCAL}])[{_LOCAL}]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+){{0,125}}\.[A-Za-z]{{2,}}"
+_NAME = r"(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]"
+SECRET = rf"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}(?![0-9A-Za-z])|{_NAME}\s{{0,3}}["']?[^\s"']{{5,}}[^\s"'.,;:!?)\]])"""
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)"
 SSN = r"(?<![\w\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w\-])"
 DATE = r"(?<![\w\-.])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4})(?![\w\-])"
-CARD = r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"
-#: In this order: an earlier kind wins where two match at one place.
-KINDS = [("email", EMAIL), ("secret", SECRET), ("ip", IP), ("ssn", SSN), ("date", DATE), ("phone", PHONE), ("card", CARD), ("iban", IBAN)]
-ANY = "|".join(p for _, p in KINDS)
-#: What a text with any of these values has; spares most texts the whole pattern.
-HINT = r"[0-9@]|AKIA|(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]"
+CARD = r"(?<![\w\-])\d(?:[ \-]?\d){12,399}(?![\w\-])"
+IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,396}(?!\w)"
+#: How a card number is written within a longer run.
+LAYOUT = r"^(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{4,5})$"
+#: Two passes, each with what a text must have in it to have any of these values. In this order: an earlier kind wins where two
+#: match at one place.
+PASSES = [
+    ([("email", EMAIL), ("secret", SECRET), ("ip", IP), ("ssn", SSN), ("date", DATE), ("phone", PHONE)], rf"[0-9@]|AKIA|{_NAME}"),
+    ([("card", CARD), ("iban", IBAN)], r"\d(?:[ \-]?\d){12}|[A-Z]{2}\d{2}"),
+]
 
 
 def _hash_int(text: Column, modulus: Column | int) -> Column:
@@ -115,27 +126,34 @@ def _fit(value: Column, digits: Column) -> Column:
     return F.array_join(placed, "")
 
 
-def _valid_end(value: Column, least: int, valid: Callable[[Column], Column]) -> Column:
-    """The greatest length at which ``value`` may end, before a separator, and passes the test; null if there is none."""
+def _each_valid(value: Column, begin: str, least: int, most: int, valid: Callable[[Column], Column], new: Callable[[Column], Column]) -> Column:
+    """``value`` with the numbers in it replaced: from the left, at each place where one may begin (after a separator, as ``begin``
+    says), the longest part that ends before a separator and passes the test."""
     n = F.length(value)
-    ends = F.sequence(F.greatest(n, F.lit(least)), F.lit(least), F.lit(-1))
-    whole = lambda e: F.substr(value, e, F.lit(2)).rlike("^[A-Z0-9](?:[ -]|$)")
-    shorter = F.get(F.filter(ends, lambda e: F.when(whole(e), valid(F.substr(value, F.lit(1), e))).otherwise(False)), F.lit(0))
-    return F.when(valid(value), n).otherwise(shorter)
+    part = lambda i, j: F.substr(value, i, j - i + 1)
+    ends = lambda e: F.substr(value, e, F.lit(2)).rlike("^[A-Z0-9](?:[ -]|$)")
 
+    def step(acc: Column, s: Column) -> Column:
+        may = (s > acc["done"]) & ((s == 1) | F.substr(value, s - 1, F.lit(1)).rlike("[ -]")) & F.substr(value, s, F.lit(4)).rlike(begin) & (s + least - 1 <= n)
+        tries = F.sequence(F.least(n, s + most - 1), s + least - 1, F.lit(-1))
+        end = F.when(may, F.get(F.filter(tries, lambda e: F.when(ends(e), valid(part(s, e))).otherwise(False)), F.lit(0)))
+        found = lambda e: F.struct(F.concat(acc["out"], part(acc["done"] + 1, s - 1), new(part(s, e))).alias("out"), e.alias("done"))
+        return F.get(F.transform(F.array(end), lambda e: F.when(e.isNull(), acc).otherwise(found(e))), F.lit(0))
 
-def _at_valid_end(value: Column, end: Column, new: Callable[[Column], Column]) -> Column:
-    return F.when(end.isNull(), value).otherwise(F.concat(new(F.substr(value, F.lit(1), end)), F.substr(value, end + 1, F.length(value))))
+    out = F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit("").alias("out"), F.lit(0).alias("done")), step)
+    return F.concat(out["out"], F.substr(value, out["done"] + 1, n))
 
 
 def _is_card(value: Column) -> Column:
     d = F.regexp_replace(value, r"\D", "")
     n = F.length(d)
-    return (n >= 13) & (luhn_check(F.substr(d, F.lit(1), n - 1)) == F.substr(d, n, F.lit(1)))
+    return n.between(13, 19) & (luhn_check(F.substr(d, F.lit(1), n - 1)) == F.substr(d, n, F.lit(1)))
 
 
 def permute_card(value: Column, key: str) -> Column:
-    return _at_valid_end(value, _valid_end(value, 13, _is_card), lambda v: _new_card(v, key))
+    new = lambda v: _new_card(v, key)
+    within = lambda v: F.when(v.rlike(LAYOUT), _is_card(v)).otherwise(False)
+    return F.when(_is_card(value), new(value)).otherwise(_each_valid(value, r"^\d", 13, 23, within, new))
 
 
 def _new_card(value: Column, key: str) -> Column:
@@ -152,11 +170,12 @@ def _mod97(chars: Column) -> Column:
 
 def _is_iban(value: Column) -> Column:
     v = F.regexp_replace(value, " ", "")
-    return (F.length(v) >= 15) & (_mod97(F.concat(F.substr(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))) == 1)
+    return F.length(v).between(15, 34) & (_mod97(F.concat(F.substr(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))) == 1)
 
 
 def permute_iban(value: Column, key: str) -> Column:
-    return _at_valid_end(value, _valid_end(value, 15, _is_iban), lambda v: _new_iban(v, key))
+    new = lambda v: _new_iban(v, key)
+    return F.when(_is_iban(value), new(value)).otherwise(_each_valid(value, r"^[A-Z]{2}\d{2}$", 15, 42, _is_iban, new))
 
 
 def _new_iban(value: Column, key: str) -> Column:
@@ -197,40 +216,43 @@ def permute_phone(value: Column, key: str) -> Column:
 
 
 def permute_secret(value: Column, key: str) -> Column:
-    name = F.regexp_extract(value, r"""^(?:AKIA(?=[0-9A-Z]{16}$)|(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}["']?)""", 0)
+    name = F.regexp_extract(value, rf"""^(?:AKIA(?=[0-9A-Z]{{16}}$)|{_NAME}\s{{0,3}}["']?)""", 0)
     return F.concat(name, permute_text(F.substr(value, F.length(name) + 1, F.length(value)), key, "secret"))
 
 
 PERMUTE = {"email": permute_email, "secret": permute_secret, "ip": permute_ip, "ssn": lambda v, k: permute_digits(v, k, "ssn"), "date": permute_date, "phone": permute_phone, "card": permute_card, "iban": permute_iban}
 
 
-def permuted(value: Column, key: str) -> Column:
+def permuted(value: Column, kinds: list[tuple[str, str]], key: str) -> Column:
     """One match, as its kind is permuted."""
     out = value
-    for kind, pattern in reversed(KINDS):
+    for kind, pattern in reversed(kinds):
         # Alone, a match stands without its neighbours, which the look-arounds accept.
         out = F.when(value.rlike(f"^(?:{pattern})$"), PERMUTE[kind](value, key)).otherwise(out)
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", report: bool = True) -> DataFrame:
+def _permuter(kinds: list[tuple[str, str]], key: str) -> Callable[[Column], Column]:
+    return lambda match: permuted(match, kinds, key)
+
+
+def pseudonymise(docs: DataFrame, key: str, column: str = "text", report: bool = True) -> DataFrame:
     """The documents with every value in ``column`` replaced; with ``report`` also n_found (matches) and
-    n_changed (those that were valid)."""
-    text = F.col(f"`{column}`")
-    has = text.rlike(HINT)
-    found = F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    base = docs.withColumn("__found", found)
-    some = F.coalesce(F.size("__found") > 0, F.lit(False))
-    base = base.withColumn("__new", F.when(some, F.transform("__found", lambda m: permuted(m, key))))
-    woven = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("__new"), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    out = base.withColumn(column, F.when(some, woven).otherwise(text))
-    if report:
-        changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
-        out = out.withColumns({"n_found": F.when(some, F.size("__found")).otherwise(0).cast("long"), "n_changed": F.when(some, changed).otherwise(0).cast("long")})
-    return out.drop("__found", "__new")
-
-
-def query(docs: DataFrame) -> DataFrame:
-    from lodestone.llm.common import clean_name
-
-    return pseudonymise(clean_name(docs, "doc_id", "text"))
+    n_changed (those in which there was a valid value)."""
+    d = docs.select(F.struct("*").alias("row"), F.col(f"`{column}`").alias("text"), F.lit(0).cast("long").alias("n_found"), F.lit(0).cast("long").alias("n_changed"))
+    for kinds, hint in PASSES:
+        pattern = "|".join(p for _, p in kinds)
+        found = F.when(F.col("text").rlike(hint), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+        d = d.withColumn("found", found)
+        some = F.coalesce(F.size("found") > 0, F.lit(False))
+        d = d.withColumn("new", F.when(some, F.transform("found", _permuter(kinds, key))))
+        woven = F.array_join(F.zip_with(F.split("text", pattern, -1), F.col("new"), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+        changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
+        counts = {"n_found": F.col("n_found") + F.when(some, F.size("found")).otherwise(0), "n_changed": F.col("n_changed") + F.when(some, changed).otherwise(0)} if report else {}
+        d = d.withColumns({"text": F.when(some, woven).otherwise(F.col("text"))} | counts).drop("found", "new")
+    added = ["n_found", "n_changed"] if report else []
+    return d.select(*[F.col("text").alias(c) if c == column else F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
+
+
+def query(docs: DataFrame, key: str) -> DataFrame:
+    return pseudonymise(clean_name(docs, "doc_id", "text"), key)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from lodestone.llm import crf, hilbert, mixing, minhash, nndescent, pii, pieces, repetition, weak, ziplang
-from lodestone.llm.common import read
+from lodestone.llm.common import pseudonym_key, read
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op5_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.query(read(spark, sf_dir, "documents"))
+    return pii.query(read(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

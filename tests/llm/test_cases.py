@@ -29,7 +29,7 @@ def labels(spark):
 
 def run(name, docs, labels):
     return {
-        "mixing": lambda: mixing.query(docs), "hilbert": lambda: hilbert.shard_hilbert(docs), "repetition": lambda: repetition.query(docs), "crf": lambda: crf.query(docs, labels), "pii": lambda: pii.query(docs),
+        "mixing": lambda: mixing.query(docs), "hilbert": lambda: hilbert.shard_hilbert(docs), "repetition": lambda: repetition.query(docs), "crf": lambda: crf.query(docs, labels), "pii": lambda: pii.query(docs, "k"),
         "pieces": lambda: pieces.query(docs), "minhash": lambda: minhash.query(docs), "ziplang": lambda: ziplang.query(docs), "weak": lambda: weak.query(docs, labels),
     }[name]()
 

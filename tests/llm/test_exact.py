@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.llm import components as components_module
 from lodestone.llm import hilbert, minhash, mixing, nndescent, pieces, pii, repetition
 from lodestone.llm.common import DOCUMENTS
 from tests.parity import compare, connect
@@ -180,15 +181,83 @@ def test_exact_search_after_failed_audits(spark, monkeypatch):
 
 def test_values_that_end_before_their_match(spark):
     """A card or an account number followed by what its pattern takes in too, and a key in a text without digits."""
-    values = ["4111111111111111", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "AKIA" + "ABCDEFGHIJKLMNOP"]
-    tails = [" 12 items", " BIC COBADEFFXXX", " BIC COBADEFFXXX", " end"]
+    values = ["4111111111111111", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "AKIA" + "ABCDEFGHIJKLMNOP", "Password: hunter2x", "4111 1111 1111 1111", "4111-1111-1111-1111"]
+    tails = [" 12 items", " BIC COBADEFFXXX", " BIC COBADEFFXXX", " end", " end", " 0000 1234 99", " 2024"]
     rows = [(k, f"pay {v}{t}") for k, (v, t) in enumerate(zip(values, tails, strict=True))] + [(k + 10, f"pay {v}.") for k, v in enumerate(values)]
-    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     for k, (v, t) in enumerate(zip(values, tails, strict=True)):
         alone = got[k + 10].removeprefix("pay ").removesuffix(".")
         assert alone != v and got[k] == f"pay {alone}{t}"
 
 
+def test_values_behind_other_numbers(spark):
+    """A number is found whatever stands before it in its run, and other kinds within such a run too."""
+    texts = ["12 4111111111111111", "1234 5678 4111 1111 1111 1111", "AB12 CDEF GHIJ KLMN DE89370400440532013000", "1234 5678 123-45-6789 0000", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", "9" * 5000, "a@" + "b." * 5000 + "com"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    alone = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(["4111111111111111", "4111 1111 1111 1111", "DE89370400440532013000", "123-45-6789"])), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got[:4] == [f"12 {alone[0]}", f"1234 5678 {alone[1]}", f"AB12 CDEF GHIJ KLMN {alone[2]}", f"1234 5678 {alone[3]} 0000"] and got[4] == texts[4]
+
+
+def brute_pseudonym(value, key, kind):
+    """Letters and digits moved by the rounds of the network, one character at a time."""
+    half = (len(value) + 1) // 2
+    a, b = value[:half], value[half:]
+    shape = "".join("0" if c.isdigit() else "a" if c.isalpha() else c for c in value.lower())
+
+    def shifted(part, other, i):
+        pad = hashlib.sha256(f"{key}|{kind}|{i}|{other}|{shape}".encode()).hexdigest()
+        out = ""
+        for k, c in enumerate(part):
+            by = int(pad[k % 32 * 2 : k % 32 * 2 + 2], 16)
+            low, n = (48, 10) if c.isdigit() else (97, 26) if c.islower() else (65, 26) if c.isupper() else (0, 0)
+            out += chr((ord(c) - low + by) % n + low) if n else c
+        return out
+
+    for i in range(1, pii.ROUNDS + 1):
+        if i % 2:
+            a = shifted(a, b, i)
+        else:
+            b = shifted(b, a, i)
+    return a + b
+
+
+def test_pseudonyms_by_brute_force(spark, docs, texts):
+    """Mail addresses, keys and cards of all documents, as a plain program permutes them; all else in a text stays."""
+    got = {r.doc_id: r.text for r in pii.query(docs, "k").collect()}
+    mail = re.compile(pii.EMAIL)
+    n = 0
+    for k, text in texts.items():
+        if text is None:
+            assert got[k] is None
+            continue
+        old, new = mail.findall(text), mail.findall(got[k])
+        n += len(old)
+        for v, w in zip(old, new, strict=True):
+            cut = len(v) - len(v.rsplit(".", 1)[1])
+            assert w == brute_pseudonym(v[:cut], "k", "email") + v[cut:]
+        form = lambda t: re.sub(r"[A-Za-z0-9]", "x", re.sub(pii.IP, "ip", t))
+        assert form(got[k]) == form(text)
+        if not re.search(r"[0-9@]|AKIA|(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]", text):
+            assert got[k] == text
+    assert n >= 5
+    cards = ["4111111111111111", "5500 0000 0000 0004", "378282246310005"]
+    for v, r in zip(cards, pii.pseudonymise(spark.createDataFrame([(k, c) for k, c in enumerate(cards)], "doc_id long, text string"), "k").orderBy("doc_id").collect(), strict=True):
+        d = v.replace(" ", "")
+        body = d[0] + brute_pseudonym(d[1:-1], "k", "card")
+        luhn = sum(sum(divmod(int(c) * 2, 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body)))
+        assert r.text.replace(" ", "") == body + str(-luhn % 10)
+
+
+def test_clashing_columns_stay(spark):
+    d = table(spark, [(1, "mail a.b@x.org"), (2, None)]).withColumns({c: F.lit(7) for c in ("__found", "found", "new", "row", "n_changed_", "_row", "_copies", "n_words", "kept")})
+    out = pii.pseudonymise(d, "k", report=False)
+    assert out.columns == d.columns and {r.found for r in out.collect()} == {7}
+    got = repetition.filter_documents(table(spark, [(1, " ".join(f"w{k}" for k in range(40)))]).withColumns({c: F.lit(7) for c in ("n_words", "kept", "row")}))
+    assert [(r.n_words, r.kept, r.row) for r in got.collect()] == [(7, 7, 7)]
+    mixed = mixing.mixed_documents(d, budget_percent=200)
+    assert mixed.columns == d.columns and {r._copies for r in mixed.collect()} == {7}
+
+
 def test_permutation_is_one_to_one(spark):
     d = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("v"))
     out = d.select(pii.permute_digits(F.col("v"), "k", "x").alias("p")).collect()
@@ -201,7 +270,7 @@ def test_permutation_is_one_to_one(spark):
 def test_values_keep_their_form(spark):
     card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
     text = f"Card {card}, bad 4111 1111 1111 1112, iban {iban}, mail a.b@x.org or A.B@x.org, ip 10.0.0.1, ssn 123-45-6789, on 2024-02-29 and 31.12.1999, call +1 555-123-4567, no date 2023-02-30."
-    rows = pii.query(table(spark, [(1, text), (2, f"again {card} and {iban}"), (3, None), (4, ""), (5, "nothing at all")])).orderBy("doc_id").collect()
+    rows = pii.query(table(spark, [(1, text), (2, f"again {card} and {iban}"), (3, None), (4, ""), (5, "nothing at all")]), "k").orderBy("doc_id").collect()
     out = rows[0].text
     new = re.search(r"Card ([\d ]+),", out)[1]
     digits = [int(c) for c in new if c != " "]
@@ -217,7 +286,7 @@ def test_values_keep_their_form(spark):
 
 
 def test_plain_plans(spark, docs):
-    for q in (mixing.query, hilbert.shard_hilbert, pii.query):
+    for q in (mixing.query, hilbert.shard_hilbert, lambda d: pii.query(d, "k")):
         assert not re.search("Python|Pandas|Arrow", q(docs)._jdf.queryExecution().executedPlan().toString())
 
 
@@ -303,11 +372,55 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 90, 95, 100])
+def test_bands_follow_the_threshold(percent):
+    rows, bands = minhash.banding(percent)
+    assert (1 - (percent / 100) ** rows) ** bands <= minhash.LOST and rows * bands >= minhash.BATCH * (percent < 100)
+
+
+def test_left_out_members_are_linked(spark, monkeypatch):
+    """A chain in one bucket's cluster, whose far ends neither a leader nor a block joins, in blocks of four."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[6 * k : 6 * k + 160])) for k in range(40)] + [(100 + k, " ".join([f"x{k}", *words[:160]])) for k in range(40)]
+    want = brute_components(rows, 3, 85)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.query(table(spark, rows)).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 1
+
+
+def test_filter_with_clashing_columns(spark):
+    """Extra columns of any name pass through; of repeated rows with one id, one stays of each text."""
+    rows = [*mutated(2, 3, 6), (100, "one two three"), (100, "one two three"), (100, "four five six"), (None, "one two three"), (None, None)]
+    d = table(spark, rows).withColumns({c: F.lit(7) for c in ("__kept", "kept", "row", "maybe", "n", "id", "_bits", "node")})
+    got = minhash.filter_documents(d)
+    assert got.columns == d.columns
+    comp = brute_components(rows[:18], 5, 80)
+    out = Counter((r.doc_id, r.text) for r in got.collect())
+    assert out == Counter([(k, t) for k, t in rows[:18] if comp[k][1] == k] + [(100, "one two three"), (100, "four five six"), (None, "one two three"), (None, None)])
+
+
 def test_posterior_bound_keeps_links():
     """Of pairs at the threshold the batches rule out next to none, and unlike pairs go early."""
-    rng, least = np.random.default_rng(8), minhash.least_matches(0.85)
+    rng, least = np.random.default_rng(8), minhash.least_matches(85)
+    rows, bands = minhash.banding(85)
     for s, lost in ((0.85, 3), (0.3, 2000)):
-        alike = rng.random((2000, minhash.HASHES)) < s
-        sig = np.vstack([np.zeros(minhash.HASHES, np.uint32), np.where(alike, 0, 1).astype(np.uint32)])
+        alike = rng.random((2000, rows * bands)) < s
+        sig = np.vstack([np.zeros(rows * bands, np.uint8), np.where(alike, 0, 1).astype(np.uint8)])
         kept = minhash.likely(sig, 0, np.arange(1, 2001), least)
         assert (len(kept) >= 2000 - lost) if s > 0.5 else len(kept) == 0
+
+
+@pytest.mark.parametrize("part", [7, 100_000])
+def test_components(spark, monkeypatch, part):
+    """Paths, stars and cycles, contracted in one partition or joined in steps."""
+    rng = np.random.default_rng(9)
+    edges = [(k, k + 1) for k in range(0, 30)] + [(100, 100 + k) for k in range(20)] + [(200 + k, 200 + (k + 1) % 9) for k in range(9)] + [(int(a), int(b)) for a, b in rng.integers(300, 360, (40, 2))]
+    comp = {x: x for e in edges for x in e}
+    for _ in comp:
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    alone = {x for x in comp if all(a == b for a, b in edges if x in (a, b))}
+    monkeypatch.setattr(components_module, "PART", part)
+    d = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    assert {r.node: r.root for r in components_module.components(d).collect()} == {k: v for k, v in comp.items() if k not in alone}
+    assert components_module.components(d.limit(0)).count() == 0

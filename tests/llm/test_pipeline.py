@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from lodestone.llm import pieces, pii, repetition
+from lodestone.llm.common import pseudonym_key
 from tests.llm.test_exact import brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,7 @@ def test_stages(spark):
     assert two.columns == columns and {r.doc_id for r in two.collect()} == {k for k, (_, c) in comp.items() if c == k}
     three = corpus_pipeline.pseudonyms(spark, two, SF).cache()
     new = {r.doc_id: r.text for r in three.collect()}
-    want = {r.doc_id: r.text for r in pii.query(two).collect()}
+    want = {r.doc_id: r.text for r in pii.query(two, pseudonym_key(spark)).collect()}
     assert three.columns == columns and new == want
     four = corpus_pipeline.mixture(spark, three, SF).cache()
     from lodestone.llm import mixing
