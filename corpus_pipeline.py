@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import minhash, mixing, pieces, pii, repetition
-from lodestone.llm.common import read, stage
+from lodestone.llm.common import pseudonym_key, read, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values are permuted within their formats."""
-    return pii.pseudonymise(docs, report=False)
+    return pii.pseudonymise(docs, pseudonym_key(spark), report=False)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
