@@ -176,6 +176,19 @@ def test_exact_search_after_failed_audits(spark, monkeypatch):
     assert all((got[k].n_links, got[k].component_id, got[k].audit_recall) == (2, k % 20, 1.0) for k in range(60))
 
 
+def test_many_dimensions_and_balls(spark):
+    """Vectors of 5,000 dimensions; a chain of tight groups, each with cross links to the next only."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(4):
+        centre = np.zeros(5000)
+        centre[0], centre[1] = np.cos(0.4 * g), np.sin(0.4 * g)
+        rows += [(60 * g + k, (centre + rng.standard_normal(5000) * 0.0002).tolist()) for k in range(60)]
+    rows += [(1000 + k, rng.standard_normal(5000).tolist()) for k in range(5)]
+    got = {r.vec_id: r for r in nndescent.query(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all((got[k].component_id, got[k].n_links) == (0, 119 if k // 60 in (0, 3) else 179) for k in range(240)) and all(got[1000 + k].n_links == 0 for k in range(5))
+
+
 # 6: pseudonyms
 
 
