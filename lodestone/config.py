@@ -6,12 +6,16 @@ from dataclasses import dataclass, field
 
 # ---- fixed values: results depend on them being exactly these ----
 
-STOPWORDS = (
-    "a an the is are was were be been being to of in on for with and or not it this that these those at by from as into "
-    "where how what when which who whom does do add fix make use using my our your i we handled handle implement implemented "
-    "implementing create created creating should would could can need needs want please some any all there"
-).split()
-EVAL_STOPWORDS = "the a an and or of to in on for with is are be not this that it as at by from into".split()
+STOPWORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "to", "of", "in", "on", "for", "with", "and", "or", "not", "it", "this",
+    "that", "these", "those", "at", "by", "from", "as", "into", "where", "how", "what", "when", "which", "who", "whom", "does", "do", "add", "fix",
+    "make", "use", "using", "my", "our", "your", "i", "we", "handled", "handle", "implement", "implemented", "implementing", "create", "created",
+    "creating", "should", "would", "could", "can", "need", "needs", "want", "please", "some", "any", "all", "there",
+]
+EVAL_STOPWORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "be", "not", "this", "that", "it", "as", "at", "by", "from",
+    "into",
+]
 EXTENSIONS = {
     "typescript": [".ts", ".mts", ".cts", ".tsx"],
     "javascript": [".js", ".mjs", ".cjs", ".jsx"],

@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import written
+
 PARTS = 1024
 
 
@@ -40,6 +42,16 @@ def global_rank(df: DataFrame, key: str, ties: list[str], descending: bool = Fal
     return inner.join(F.broadcast(sizes), "_range").withColumn(out, (F.col("_before") + F.col("_inner")).cast("long")).drop("_range", "_before", "_inner")
 
 
+def ordered_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame:
+    """Adds 1, 2, … by any columns, strings too. Rows are dealt into ranges by a sample of them, and the ranges written, since
+    another sample would deal them otherwise; each is numbered by itself and shifted by the sizes of the ranges before."""
+    dealt = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each shuffle partition
+    sizes = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inner = dealt.withColumn("_inner", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return inner.join(F.broadcast(sizes), "_range").withColumn(out, (F.col("_before") + F.col("_inner")).cast("long")).drop("_range", "_before", "_inner")
+
+
 def top(df: DataFrame, k: int, order: list[Column | str], by: list[str]) -> DataFrame:
     """The first ``k`` rows of each group; Spark cuts each task's groups to ``k`` before the shuffle."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_k") <= k).drop("_k")

@@ -132,9 +132,9 @@ def j07(spark, sf_dir):
     return resolve.test_edges(sources(spark).select("path", is_test_file(F.col("path")).alias("is_test"))).select("source", "target")
 
 
-@query("j08_unique_exports", "SELECT p_name AS name, min('f' || p_size) AS path FROM part WHERE p_size % 2 = 0 GROUP BY p_name HAVING count(DISTINCT p_size) = 1")
+@query("j08_unique_exports", "SELECT p_name || ' ' || p_brand AS name, min('f' || p_size) AS path FROM part GROUP BY p_name || ' ' || p_brand HAVING count(DISTINCT p_size) = 1")
 def j08(spark, sf_dir):
-    s = table(spark, sf_dir, "part").filter("p_size % 2 = 0").select(F.concat(F.lit("f"), "p_size").alias("path"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.lit("function").alias("kind"), F.lit("named").alias("export_kind"))
+    s = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), "p_size").alias("path"), F.col("p_partkey").cast("string").alias("id"), F.concat("p_name", F.lit(" "), "p_brand").alias("name"), F.lit("function").alias("kind"), F.lit("named").alias("export_kind"))
     return resolve.unique_exports(s).select("name", "path")
 
 

@@ -13,6 +13,7 @@ from lodestone.plans.base import DOCS, benchmark_tasks, doc_texts, query, table
 from lodestone.plans.inline import Inline
 from lodestone.plans.lexical_queries import corpus, retrieve_sql
 from lodestone.plans.retrieve import explained, query_text, retrieve
+from lodestone.plans.text_queries import BINARY, MAX, doc_files
 from lodestone.sources import store
 from lodestone.sources.shared import shared_dir, written
 from lodestone.streaming import changes
@@ -107,9 +108,8 @@ def j13(spark, sf_dir):
     return s.join(rc, "path").select("query_id", "path", F.round(0.15 * (1 - F.col("rank") / 25), 6).alias("weight"))
 
 
-@query("f01_eligible", f"WITH {DOCS} SELECT path FROM docs WHERE octet_length(encode(text)) <= 60000")
+@query("f01_eligible", f"WITH {DOCS} SELECT path FROM docs WHERE octet_length(encode(text)) <= {MAX} AND NOT {BINARY}")
 def f01(spark, sf_dir):
-    from lodestone.plans.text_queries import MAX, doc_files
     from lodestone.sources.scan import scan
 
     return scan(doc_files(spark, sf_dir), MAX).filter("status = 'OK'").select("path")
@@ -204,16 +204,16 @@ def e02(spark, sf_dir):
 
 @query("s28_payload")
 def s28(spark, sf_dir):
-    return context.packages(spark, corpus(spark, sf_dir), benchmark_tasks(spark, sf_dir).filter("query_id < 8"), doc_texts(spark, sf_dir))
+    return context.packages(spark, corpus(spark, sf_dir), benchmark_tasks(spark, sf_dir), doc_texts(spark, sf_dir))
 
 
-@query("s29_payload_round_trip", "SELECT true AS same")
+@query("s29_payload_round_trip", "SELECT item_id AS query_id, true AS same FROM benchmark")
 def s29(spark, sf_dir):
-    """The files read from the packages are those that were put in, in the same order."""
-    p = written(context.packages(spark, corpus(spark, sf_dir), benchmark_tasks(spark, sf_dir).filter("query_id < 8"), doc_texts(spark, sf_dir)), "payloads")
+    """Whether the files read from a package are those that were put in, in the same order, for every task."""
+    p = written(context.packages(spark, corpus(spark, sf_dir), benchmark_tasks(spark, sf_dir), doc_texts(spark, sf_dir)), "payloads")
     got = packing.package_files(p.select(F.col("query_id").alias("payload_id"), F.col("payload").alias("text"))).groupBy(F.col("payload_id").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "path"))).alias("got"))
-    d = p.select("query_id", "files").join(got, "query_id", "left").select((F.coalesce(F.transform("got", lambda x: x["path"]), F.array().cast("array<string>")) == F.col("files")).alias("same"))
-    return d.agg(F.bool_and("same").alias("same"))
+    d = p.select("query_id", "files").join(got, "query_id", "left").select("query_id", (F.coalesce(F.transform("got", lambda x: x["path"]), F.array().cast("array<string>")) == F.col("files")).alias("same"))
+    return benchmark_tasks(spark, sf_dir).select("query_id").join(d, "query_id", "left").withColumn("same", F.coalesce("same", F.lit(False)))
 
 
 @query("w09_settled_tokens")
@@ -288,10 +288,10 @@ def st02b(spark, sf_dir):
     return changes.flushes(d, 600, ["workspace"]).select("flush", "path", "kind")
 
 
-@query("st03_refresh_by_key", "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 6 = 2 THEN 'remove' ELSE 'upsert' END AS action FROM documents WHERE doc_id < 60 AND CASE WHEN doc_id % 6 = 2 THEN doc_id % 7 <> 1 ELSE doc_id % 7 = 1 OR doc_id % 5 = 0 END")
+@query("st03_refresh_by_key", "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 6 = 2 THEN 'remove' ELSE 'upsert' END AS action FROM documents WHERE CASE WHEN doc_id % 6 = 2 THEN doc_id % 7 <> 1 ELSE doc_id % 7 = 1 OR doc_id % 5 = 0 END")
 def st03(spark, sf_dir):
     now, old = index_of(spark, sf_dir)
-    e = spark.createDataFrame([(str(k), "delete") for k in range(60)], "path string, kind string")
+    e = table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").cast("string").alias("path"), F.lit("delete").alias("kind"))
     up, gone = changes.apply_changes(e, now, old)
     return up.select("path", F.lit("upsert").alias("action")).unionByName(gone.select("path", F.lit("remove").alias("action")))
 

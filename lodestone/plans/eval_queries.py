@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone import config
 from lodestone.functions import text as X
 from lodestone.operators import baselines, metrics, mining, ranks, stats
+from lodestone.operators.lexical import document_path
 from lodestone.plans.base import DOCS, benchmark_tasks, doc_texts, listed, query, table
 from lodestone.plans.inline import Inline
 from lodestone.plans.lexical_queries import BM25, corpus, retrieve_sql
@@ -198,7 +200,11 @@ def e10(spark, sf_dir):
 
 @query("a15_random_exact")
 def a15x(spark, sf_dir):
-    snap = doc_texts(spark, sf_dir).select("path").filter("path like 'src1/%'").join(F.broadcast(benchmark_tasks(spark, sf_dir).filter("query_id < 3").select(F.col("query_id").alias("task_id"))))
+    """Each task ranks the documents of one source, its snapshot; all tasks, all sources."""
+    d = table(spark, sf_dir, "documents").select(document_path().alias("path"), F.coalesce("source", F.lit("none")).alias("source"))
+    n = d.select("source").distinct().orderBy("source").withColumn("source_no", F.row_number().over(Window.orderBy("source")) - 1)
+    tasks = benchmark_tasks(spark, sf_dir).select(F.col("query_id").alias("task_id")).crossJoin(n.agg(F.count("*").alias("n")))
+    snap = tasks.withColumn("source_no", (F.col("task_id") % F.col("n")).cast("int")).join(n, "source_no").join(d, "source").select("task_id", "path")
     return stats.random_ranking(snap, benchmark_tasks(spark, sf_dir).withColumnRenamed("query_id", "task_id"), config.EVAL_SEED)
 
 

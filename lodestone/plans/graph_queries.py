@@ -13,13 +13,13 @@ from lodestone.plans.retrieve import project_ranking
 from lodestone.sources.shared import written
 
 FK = """fk AS (SELECT 'file:r' || n_regionkey AS source, 'file:n' || n_nationkey AS target, 'imports' AS kind FROM nation UNION ALL SELECT 'file:n' || s_nationkey, 'file:s' || s_suppkey, 'calls' FROM supplier
-    UNION ALL SELECT DISTINCT 'file:s' || l_suppkey, 'file:p' || l_partkey, 'references' FROM lineitem WHERE l_suppkey % 7 = 1)"""
+    UNION ALL SELECT DISTINCT 'file:s' || l_suppkey, 'file:p' || l_partkey, 'references' FROM lineitem)"""
 
 
 def fk_edges(spark, sf_dir):
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     edge = lambda d, a, x, b, y, kind: d.select(F.concat(F.lit(f"file:{a}"), F.col(x)).alias("source"), F.concat(F.lit(f"file:{b}"), F.col(y)).alias("target"), F.lit(kind).alias("kind"), F.lit("PARSED").alias("provenance"), F.lit(None).cast("string").alias("detail"))
-    li = edge(table(spark, sf_dir, "lineitem").filter("l_suppkey % 7 = 1"), "s", "l_suppkey", "p", "l_partkey", "references").distinct()
+    li = edge(table(spark, sf_dir, "lineitem"), "s", "l_suppkey", "p", "l_partkey", "references").distinct()
     return edge(n, "r", "n_regionkey", "n", "n_nationkey", "imports").unionByName(edge(s, "n", "s_nationkey", "s", "s_suppkey", "calls")).unionByName(li)
 
 

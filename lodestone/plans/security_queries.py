@@ -6,25 +6,68 @@ from pyspark.sql import functions as F
 
 from lodestone import config
 from lodestone.operators import security
-from lodestone.plans.base import DOCS, doc_texts, query, table
+from lodestone.operators.lexical import document_path
+from lodestone.plans.base import DOCS, PATH, doc_texts, query, table
 from lodestone.plans.inline import Inline
+from lodestone.sources.shared import spread, written
 
-#: The SQL knows quoted assignments only, the one kind that the test tables hold; the queries report every kind (tests/test_security_kinds.py). RE2 has no back-references, so the entropy is added up in SQL.
-FOUND = rf"""{DOCS}, m AS (SELECT path, unnest(regexp_extract_all(text, '{security.QUOTED.replace("'", "''")}', 1)) AS v FROM docs), ch AS (SELECT path, v, row_number() OVER () AS i FROM m), e AS (SELECT path, v, i, list_transform(list_distinct(string_split(v, '')), lambda c: len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v)) AS ps FROM ch),
-    good AS (SELECT path, v FROM e WHERE -list_sum(list_transform(ps, lambda p: p * log2(p))) >= {security.MIN_ENTROPY} AND NOT regexp_matches(lower(v), 'changeme|change_me|example|placeholder|your_|your-|dummy|sample|redacted|<|\$\{{|\{{\{{|process\.env'))"""
+#: What follows a document's text, by its id: one secret of each kind, made of the id's md5 (m). The tables themselves hold quoted assignments only.
+PLANTS = [
+    "' AKIA' || upper(substr(m, 1, 16))", "' ghp_' || m", "' xoxb-' || substr(m, 1, 12)", "' sk_live_' || substr(m, 1, 16)", "' AIza' || m || 'abc'", "' sk-' || m",
+    "chr(10) || '-----BEGIN PRIVATE KEY-----' || chr(10) || m || chr(10) || '-----END PRIVATE KEY-----'", "' eyJ' || substr(m, 1, 8) || '.' || substr(m, 9, 8) || '.' || substr(m, 17, 8)",
+    "' https://user:' || substr(m, 1, 8) || '@host.example/x'", "' Bearer ' || m", "chr(10) || 'APP_TOKEN=' || m", "' password = \"' || m || '\"'", "' password = \"changeme_' || m || '\"'", "''",
+]
+_PLANT = f"CASE coalesce(doc_id, 13) % {len(PLANTS)} {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(PLANTS))} END"
+PLANTED = f"docs AS (SELECT path, text || {_PLANT} AS text FROM (SELECT doc_id, {PATH} AS path, coalesce(text, '') AS text, md5(coalesce(doc_id, 13)::VARCHAR) AS m FROM documents))"
 
 
-@query("x01_secret_kinds", f"WITH {FOUND} SELECT path, 'generic-credential' AS kind, count(*)::BIGINT AS n FROM good GROUP BY path")
+def planted(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", document_path().alias("path"), F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("doc_id", F.lit(13)).cast("string")).alias("m"))
+    return spread(d.select("path", F.expr(f"text || {_PLANT}").alias("text")))
+
+
+def _values(kind: str, pattern: str, group: int) -> str:
+    return f"list_transform(regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}', {group}), lambda v: struct_pack(kind := '{kind}', v := v, guessed := {'true' if group else 'false'}))"
+
+
+#: Every kind; RE2 has no back-references, so the entropy is added up in SQL.
+_FOUND = rf"""m AS (SELECT path, unnest(list_concat({", ".join(_values(k, p, 0) for k, p, _, _ in security.KINDS)}, {", ".join(_values(k, p, 1) for k, p, _, _ in security.GUESSED)})) AS x FROM docs),
+    e AS (SELECT path, x.kind AS kind, x.v AS v, x.guessed AS guessed, list_transform(list_distinct(string_split(x.v, '')), lambda c: len(list_filter(string_split(x.v, ''), lambda y: y = c)) / length(x.v)) AS ps FROM m),
+    good AS (SELECT path, kind, v FROM e WHERE NOT guessed OR (-list_sum(list_transform(ps, lambda p: p * log2(p))) >= {security.MIN_ENTROPY} AND NOT regexp_matches(lower(v), 'changeme|change_me|example|placeholder|your_|your-|dummy|sample|redacted|<|\$\{{|\{{\{{|process\.env')))"""
+FOUND, FOUND_PLANTED = f"{DOCS}, {_FOUND}", f"{PLANTED}, {_FOUND}"
+
+
+@query("x01_secret_kinds", f"WITH {FOUND} SELECT path, kind, count(*)::BIGINT AS n FROM good GROUP BY path, kind")
 def x01(spark, sf_dir):
     return security.count_kinds(doc_texts(spark, sf_dir))
 
 
-@query("x01_findings", f"WITH {FOUND} SELECT DISTINCT path, sha256(v) AS value FROM good")
+@query("x01_planted_kinds", f"WITH {FOUND_PLANTED} SELECT path, kind, count(*)::BIGINT AS n FROM good GROUP BY path, kind")
+def x01p(spark, sf_dir):
+    return security.count_kinds(planted(spark, sf_dir))
+
+
+@query("x01_planted_findings", f"WITH {FOUND_PLANTED} SELECT DISTINCT path, kind, sha256(v) AS value FROM good")
+def x01q(spark, sf_dir):
+    return security.find(planted(spark, sf_dir)).select("path", "kind", F.sha2("match", 256).alias("value")).distinct()
+
+
+@query("x03_planted_redacted", f"WITH {FOUND_PLANTED} SELECT path, (SELECT count(*) FROM good g WHERE g.path = docs.path AND contains(docs.text, g.v))::BIGINT AS held, 0::BIGINT AS left_over FROM docs")
+def x03p(spark, sf_dir):
+    """How many findings a text held, and how many values are left in it once it is redacted."""
+    d = planted(spark, sf_dir)
+    f = written(security.find(d), "planted-findings")
+    r = security.redact(d, security.merge_spans(f.select("path", "start", "end", "kind"))).withColumnRenamed("text", "safe")
+    n = f.join(r, "path").groupBy("path").agg(F.count("*").alias("held"), F.count_if(F.contains(F.col("safe"), F.col("match"))).alias("left_over"))
+    return d.select("path").join(n, "path", "left").select("path", F.coalesce("held", F.lit(0)).cast("long").alias("held"), F.coalesce("left_over", F.lit(0)).cast("long").alias("left_over"))
+
+
+@query("x01_findings", f"WITH {FOUND} SELECT DISTINCT path, kind, sha256(v) AS value FROM good")
 def x01b(spark, sf_dir):
-    return security.find(doc_texts(spark, sf_dir)).select("path", F.sha2("match", 256).alias("value")).distinct()
+    return security.find(doc_texts(spark, sf_dir)).select("path", "kind", F.sha2("match", 256).alias("value")).distinct()
 
 
-@query("x02_policy", f"WITH {FOUND}, p AS (SELECT path, CASE WHEN doc_id % 9 = 0 THEN 'x/.env' ELSE path END AS shown FROM (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || '.md' AS path FROM documents)) SELECT path, CASE WHEN path IN (SELECT path FROM good) THEN 'blocked' ELSE 'none' END AS action FROM docs")
+@query("x02_policy", f"WITH {FOUND} SELECT path, CASE WHEN path IN (SELECT path FROM good) THEN 'blocked' ELSE 'none' END AS action FROM docs")
 def x02(spark, sf_dir):
     d = doc_texts(spark, sf_dir)
     return security.verdicts(d, security.find(d)).select("path", "action")
@@ -114,6 +157,6 @@ def x05(spark, sf_dir):
     return v.join(f.groupBy("path").agg(F.count("*").alias("gated")), "path").select("path", "action", "gated")
 
 
-@query("a29_finding_report", f"WITH {FOUND} SELECT path, count(*)::BIGINT AS n, 'generic-credential' AS kinds FROM good GROUP BY path")
+@query("a29_finding_report", f"WITH {FOUND} SELECT path, count(*)::BIGINT AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM good GROUP BY path")
 def a29(spark, sf_dir):
     return security.report(security.find(doc_texts(spark, sf_dir)))

@@ -16,9 +16,14 @@ BODY = f"list_filter({words('text')}, lambda w: length(w) >= 2 AND w NOT IN {STO
 LINES = "CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END END::INTEGER"
 EXT = r"lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\.[^.]*)$', 1))"
 LANGUAGE = "CASE " + " ".join(f"WHEN {EXT} IN {listed(e)} THEN '{n}'" for n, e in config.EXTENSIONS.items()) + " ELSE 'generic' END"
-BINARY = r"(contains(left(text, 8192), chr(0)) OR (length(left(text, 1024)) > 0 AND length(left(text, 1024)) - length(regexp_replace(left(text, 1024), '[\x00-\x08\x0E-\x1F]', '', 'g')) > 0.1 * length(left(text, 1024))))"
+def binary(content: str) -> str:
+    """The first bytes of a blob, by their hexadecimal digits."""
+    return f"(regexp_matches(left(hex({content}), 16384), '^(..)*?00') OR 10 * len(list_filter(regexp_extract_all(left(hex({content}), 2048), '..'), lambda x: x < '09' OR (x >= '0E' AND x < '20'))) > least(1024, octet_length({content})))"
+
+
+BINARY = binary("encode(text)")
 TEST = r"(regexp_matches(regexp_extract(lower(path), '[^/]*$'), '\.(test|spec)\.[a-z]+$|\.(test|spec)\.[jt]sx?$') OR contains(lower(path), '/__tests__/') OR contains(lower(path), '.test.') OR starts_with(regexp_extract(lower(path), '[^/]*$'), 'test-'))"
-MAX = 60_000
+MAX = scan.MAX_BYTES
 
 
 def doc_files(spark, sf_dir):
@@ -36,9 +41,26 @@ def s01(spark, sf_dir):
     return scan.scan(doc_files(spark, sf_dir), MAX).drop("text")
 
 
-@query("s02_size_cap", f"WITH {DOCS} SELECT path, octet_length(encode(text))::BIGINT AS length FROM docs WHERE octet_length(encode(text)) <= 4096")
+@query("s02_size_cap", f"WITH {DOCS} SELECT path, octet_length(encode(text))::BIGINT AS length FROM docs WHERE octet_length(encode(text)) <= " + str(MAX))
 def s02(spark, sf_dir):
-    return doc_files(spark, sf_dir).filter("length <= 4096").select("path", "length")
+    return doc_files(spark, sf_dir).filter(F.col("length") <= MAX).select("path", "length")
+
+
+ODD = f"d AS (SELECT path, CASE n % 4 WHEN 0 THEN unhex('FFFE41') WHEN 1 THEN unhex('00') WHEN 2 THEN unhex('E282') ELSE ''::BLOB END || encode(text) AS content FROM (SELECT {PATH} AS path, coalesce(text, '') AS text, coalesce(doc_id, 3) AS n FROM documents))"
+
+
+@query(
+    "s09_broken_bytes",
+    f"""WITH {ODD}, e AS (SELECT *, octet_length(content)::BIGINT AS size_bytes, CASE WHEN octet_length(content) > {MAX} THEN 'SKIPPED_TOO_LARGE' WHEN {binary("content")} THEN 'SKIPPED_BINARY' ELSE 'OK' END AS status FROM d)
+    SELECT path, size_bytes, status, CASE WHEN status = 'OK' THEN sha256(content) END AS content_hash FROM e""",
+)
+def s09_bytes(spark, sf_dir):
+    """Documents behind bytes that are no text or no UTF-8."""
+    k = F.coalesce("doc_id", F.lit(3)) % 4
+    lead = F.when(k == 0, F.unhex(F.lit("FFFE41"))).when(k == 1, F.unhex(F.lit("00"))).when(k == 2, F.unhex(F.lit("E282"))).otherwise(F.unhex(F.lit("")))
+    content = F.concat(lead, F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    d = table(spark, sf_dir, "documents").select(document_path().alias("path"), content.alias("content"))
+    return scan.scan(d.withColumn("length", F.octet_length("content").cast("long"))).select("path", "size_bytes", "status", "content_hash")
 
 
 @query("s03_traversal", r"SELECT page_id, list_contains(regexp_split_to_array(url, '[/\\]'), '..') AS climbs FROM pages")
@@ -74,7 +96,7 @@ def s06(spark, sf_dir):
 
 @query("s09_binary", f"WITH {DOCS} SELECT path, {BINARY} AS looks_binary FROM docs")
 def s09(spark, sf_dir):
-    return doc_texts(spark, sf_dir).select("path", scan.looks_binary(F.col("text")).alias("looks_binary"))
+    return doc_texts(spark, sf_dir).select("path", scan.looks_binary(F.encode("text", "UTF-8")).alias("looks_binary"))
 
 
 @query("s10_language", f"WITH u AS (SELECT page_id, url AS path FROM pages) SELECT page_id, {EXT} AS ext, {LANGUAGE} AS language FROM u")
@@ -144,12 +166,11 @@ def t04(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(w).alias("n"), F.array_join(w, " ").alias("kept"))
 
 
-@query("t05_string_order", "SELECT page_id, url, row_number() OVER (ORDER BY url, page_id)::INTEGER AS place FROM pages ORDER BY url, page_id LIMIT 50")
+@query("t05_string_order", "SELECT page_id, url, row_number() OVER (ORDER BY url, page_id)::BIGINT AS place FROM pages")
 def t05(spark, sf_dir):
-    from pyspark.sql import Window
+    from lodestone.operators import ranks
 
-    top = table(spark, sf_dir, "pages").select("page_id", "url").orderBy("url", "page_id").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("url", "page_id")))
+    return ranks.ordered_rank(table(spark, sf_dir, "pages").select("page_id", "url"), ["url", "page_id"], "place")
 
 
 @query("t06_posix_paths", r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), s AS (SELECT page_id, href, string_split(regexp_replace(regexp_replace(replace('docs/x/' || href, '\', '/'), '^[A-Za-z]:', ''), '^/+', ''), '/') AS p FROM h),
@@ -215,13 +236,13 @@ def t12(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(P.path_tokens(F.col("url")), " ").alias("tokens"))
 
 
-@query("t13_clean_task", r"""WITH c AS (SELECT doc_id, 'Fix crash (#' || doc_id || ') in ' || lang AS subject, left(coalesce(text, ''), 2000) AS body FROM documents WHERE lang IS NOT NULL), l AS (SELECT doc_id, subject, list_filter(list_transform(regexp_split_to_array(body, '\r?\n'), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '(?i)^(co-authored-by|signed-off-by|reviewed-by|acked-by|reported-by|tested-by)\s*:')) AS k FROM c),
+@query("t13_clean_task", r"""WITH c AS (SELECT doc_id, 'Fix crash (#' || doc_id || ') in ' || lang AS subject, coalesce(text, '') AS body FROM documents WHERE lang IS NOT NULL), l AS (SELECT doc_id, subject, list_filter(list_transform(regexp_split_to_array(body, '\r?\n'), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '(?i)^(co-authored-by|signed-off-by|reviewed-by|acked-by|reported-by|tested-by)\s*:')) AS k FROM c),
     a AS (SELECT doc_id, subject, trim(subject || ' ' || array_to_string(k, ' ')) AS x FROM l), b AS (SELECT doc_id, subject, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?i)\(cherry picked from commit [0-9a-f]+\)', '', 'g'), 'https?://\S+', ' ', 'g'), '(?i)[a-z0-9.\-+/]+@[a-z0-9.\-]+', ' ', 'g'), '\(#\d+\)', ' ', 'g') AS x FROM a)
     SELECT doc_id, trim(regexp_replace(x, '\s+', ' ', 'g')) AS task FROM b""")
 def t13(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("lang is not null")
     subject = F.concat(F.lit("Fix crash (#"), F.col("doc_id"), F.lit(") in "), "lang")
-    return d.select("doc_id", X.clean_task_text(subject, F.substring(F.coalesce("text", F.lit("")), 1, 2000)).alias("task"))
+    return d.select("doc_id", X.clean_task_text(subject, F.coalesce("text", F.lit(""))).alias("task"))
 
 
 @query("t15_token_estimates", f"WITH {DOCS} SELECT path, ceil(length(text) / 4.0)::BIGINT AS tokens, greatest(10, floor(ceil(length(text) / 4.0) / 10.0 + 0.5) * 10)::BIGINT AS approx FROM docs")

@@ -28,10 +28,11 @@ def _quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def looks_binary(text: Column) -> Column:
-    """A NUL among the first 8,192 characters, or over a tenth control characters among the first 1,024."""
-    probe = F.substring(text, 1, 8192)
-    sample = F.substring(text, 1, 1024)
+def looks_binary(content: Column) -> Column:
+    """A NUL among the first 8,192 bytes, or over a tenth control characters among the first 1,024. Bytes are looked at
+    one by one, so any bytes will do."""
+    probe = F.decode(F.substring(content, 1, 8192), "ISO-8859-1")
+    sample = F.substring(probe, 1, 1024)
     odd = F.length(sample) - F.length(F.regexp_replace(sample, r"[\x00-\x08\x0E-\x1F]", ""))
     return F.contains(probe, F.lit("\x00")) | ((F.length(sample) > 0) & (odd > 0.1 * F.length(sample)))
 
@@ -43,9 +44,10 @@ def count_lines(text: Column) -> Column:
 
 def scan(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """files: path, length, content (binary). path, language, size_bytes, line_count, content_hash, is_test,
-    status and text; skipped files have no text. Paths that climb out of the root are left out."""
-    text = F.decode("content", "UTF-8")
-    status = F.when(F.col("length") > max_bytes, "SKIPPED_TOO_LARGE").when(looks_binary(text), "SKIPPED_BINARY").otherwise("OK")
+    status and text; skipped files have no text. In the text of others bytes that are not UTF-8 become U+FFFD, the hash is
+    that of the bytes. Paths that climb out of the root are left out."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    status = F.when(F.col("length") > max_bytes, "SKIPPED_TOO_LARGE").when(looks_binary(F.col("content")), "SKIPPED_BINARY").otherwise("OK")
     d = files.filter(~has_traversal(F.col("path"))).withColumns({"status": status})
     ok = F.col("status") == "OK"
     return d.select(

@@ -34,8 +34,10 @@ def valid_entry() -> Column:
 
 
 class EntryStore:
-    """Entries below one folder. A version file names the generation that is current, so a reader never sees
-    half of a change; a store of another schema version counts as empty."""
+    """Entries below one folder, in 256 shards by path. A change writes the shards that it touches anew, in a generation of
+    its own, and a list that says for every shard which generation holds it; CURRENT names the list. Replacing CURRENT is one
+    atomic rename, so a reader sees all of a change or none; the shards of the list before stay for those who still read it.
+    A store of another schema version counts as empty."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -44,42 +46,74 @@ class EntryStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self) -> str | None:
-        fs, p = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(p):
-            return None
-        rows = self.spark.read.text(f"{self.root}/CURRENT").collect()
-        parts = rows[0][0].split(" ") if rows else []
-        return f"{self.root}/{parts[1]}" if len(parts) == 2 and parts[0] == str(SCHEMA_VERSION) else None
+    def _lines(self, name: str) -> list[str]:
+        fs, p = self._fs(f"{self.root}/{name}")
+        return [r[0] for r in self.spark.read.text(f"{self.root}/{name}").collect()] if fs.exists(p) else []
+
+    def _current(self) -> tuple[str | None, dict[str, str]]:
+        """The name of the current list, and generation by shard: 256 short lines at most."""
+        head = (self._lines("CURRENT") or [""])[0].split(" ")
+        if len(head) != 2 or head[0] != str(SCHEMA_VERSION):
+            return None, {}
+        return head[1], dict(line.split(" ") for line in self._lines(head[1]))
+
+    def _read(self, shards: dict[str, str]) -> DataFrame:
+        if not shards:
+            return self.spark.createDataFrame([], ENTRY)
+        return self.spark.read.schema(ENTRY).parquet(*[f"{self.root}/{g}/shard={s}" for s, g in sorted(shards.items())]).filter(valid_entry())
 
     def load(self) -> DataFrame:
         """The valid entries; damaged records are left out."""
-        at = self._current()
-        if at is None:
-            return self.spark.createDataFrame([], ENTRY)
-        return self.spark.read.schema(ENTRY + ", shard string").parquet(at).filter(valid_entry()).drop("shard")
+        return self._read(self._current()[1])
 
-    def _publish(self, entries: DataFrame) -> None:
-        name = f"gen-{uuid.uuid4().hex}"
-        entries.withColumn("shard", shard(F.col("path"))).repartition("shard").write.partitionBy("shard").parquet(f"{self.root}/{name}")
-        fs, tmp = self._fs(f"{self.root}/.{name}")
+    def _put(self, name: str, lines: list[str]) -> None:
+        """Writes a small file under another name and moves it over ``name`` in one step."""
+        fs, tmp = self._fs(f"{self.root}/.{name}-{uuid.uuid4().hex}")
         out = fs.create(tmp, True)
-        out.write(f"{SCHEMA_VERSION} {name}\n".encode())
+        out.write("".join(f"{x}\n" for x in lines).encode())
         out.close()
-        before = self._current()
-        current = self._fs(f"{self.root}/CURRENT")[1]
-        fs.delete(current, False)
-        fs.rename(tmp, current)
-        if before:
-            fs.delete(self._fs(before)[1], True)
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        target = fs.makeQualified(self._fs(f"{self.root}/{name}")[1])
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), target, options)
 
     def upsert(self, changed: DataFrame, removed: DataFrame | None = None) -> None:
-        """Replaces the entries of ``changed`` (by path), drops those of ``removed`` (path), all or nothing."""
+        """Replaces the entries of ``changed`` (by path), drops those of ``removed`` (path), all or nothing. Only the shards
+        of these paths are read and written."""
         gone = changed.select("path")
         if removed is not None:
             gone = gone.unionByName(removed.select("path"))
-        old = self.load().join(gone.distinct(), "path", "left_anti")
-        self._publish(old.unionByName(changed.select(*old.columns)))
+        gone = gone.distinct()
+        touched = {r[0] for r in gone.select(shard(F.col("path"))).distinct().collect()}  # 256 at most
+        before, shards = self._current()
+        old = self._read({s: g for s, g in shards.items() if s in touched}).join(gone, "path", "left_anti")
+        name = f"gen-{uuid.uuid4().hex}"
+        entries = old.unionByName(changed.select(*old.columns)).withColumn("shard", shard(F.col("path")))
+        entries.repartition("shard").write.partitionBy("shard").parquet(f"{self.root}/{name}")
+        fs, at = self._fs(f"{self.root}/{name}")
+        held = {f.getPath().getName().removeprefix("shard=") for f in fs.listStatus(at) if f.isDirectory()}
+        after = {s: g for s, g in shards.items() if s not in touched} | {s: name for s in held}
+        self._put(f"{name}.list", [f"{s} {g}" for s, g in sorted(after.items())])
+        self._put("CURRENT", [f"{SCHEMA_VERSION} {name}.list"])
+        self._sweep({f"{name}.list": after} | ({before: shards} if before else {}))
+
+    def _sweep(self, kept: dict[str, dict[str, str]]) -> None:
+        """Deletes lists, generations and shards that neither the current list nor the one before names."""
+        fs, root = self._fs(self.root)
+        named = {(g, s) for shards in kept.values() for s, g in shards.items()}
+        for f in fs.listStatus(root):
+            name = f.getPath().getName()
+            if name.endswith(".list") and name not in kept:
+                fs.delete(f.getPath(), False)
+            elif f.isDirectory() and name.startswith("gen-"):
+                own = {s for g, s in named if g == name}
+                if not own:
+                    fs.delete(f.getPath(), True)
+                    continue
+                for part in fs.listStatus(f.getPath()):
+                    if part.isDirectory() and part.getPath().getName().removeprefix("shard=") not in own:
+                        fs.delete(part.getPath(), True)
 
     def remove(self, paths: DataFrame) -> None:
         self.upsert(self.spark.createDataFrame([], ENTRY), paths)

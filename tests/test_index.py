@@ -45,6 +45,21 @@ def test_store_round_trip(spark, tmp_path):
     assert s.load().count() == 0  # another schema version
 
 
+def test_store_writes_touched_shards_only(spark, tmp_path):
+    """A change of one entry leaves the other shards' files as they are, and a reader's plan outlives it."""
+    s = store.EntryStore(spark, str(tmp_path / "s"))
+    s.upsert(entry_rows(spark, 40))
+    before, plan = s._current()[1], s.load()
+    s.upsert(entry_rows(spark, 1, "n"))
+    after = s._current()[1]
+    assert set(before) == set(after) and sum(before[k] != after[k] for k in after) == 1
+    assert plan.count() == 40 == s.load().count() and plan.filter("path = 'f0.ts'").first().content_hash != s.load().filter("path = 'f0.ts'").first().content_hash
+    s.upsert(entry_rows(spark, 1, "m"))
+    s.remove(spark.createDataFrame([("f0.ts",)], "path string"))
+    gens = {p.name for p in (tmp_path / "s").iterdir() if p.is_dir()}
+    assert s.load().count() == 39 and len(gens) == 2 and len(list((tmp_path / "s").glob("*.list"))) == 2
+
+
 def test_incremental_index_equals_rebuild(spark):
     """A seeded walk of creates, edits, deletes and renames."""
     rng, files = random.Random(20260911), {f"f{k}.ts": f"export function a{k}() {{}}\n" for k in range(6)}
