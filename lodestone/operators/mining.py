@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone import config
 from lodestone.functions.paths import is_ci_config, is_docs, is_lockfile, is_source, is_test_path
 from lodestone.functions.text import clean_task_text, word_count, words_in
+from lodestone.sources.shared import written
 
 MAX_FILES, MAX_WORDS, MIN_WORDS = 8, 200, 5
 
@@ -107,3 +108,17 @@ def assemble(commits: DataFrame, per_repo: int, seed: int, half: str = "eval") -
     pool = split.filter((F.col("_r") > F.floor(F.col("_n") / 2)) == F.lit(half == "eval")).drop("_r", "_n")
     picked = sample_commits(pool.select("repo_id", "sha", "committer_time"), per_repo, seed)
     return pool.join(picked.select("repo_id", "sha"), ["repo_id", "sha"], "left_semi").withColumn("task_id", F.concat("repo_id", F.lit(":"), "sha"))
+
+
+def splits(commits: DataFrame, per_repo: int, tuning_per_repo: int, holdout_per_repo: int, seed: int) -> DataFrame:
+    """The tasks of all three sets, with their ``split``. ``eval`` is drawn from the later half by time, ``tuning`` from the earlier;
+    ``holdout`` is what a longer draw from the later half has beyond ``eval``. A longer draw begins as the shorter one
+    does; if it should not hold all of it, the job fails."""
+    drawn = written(assemble(commits, per_repo + holdout_per_repo, seed), "drawn")
+    own = written(assemble(commits, per_repo, seed), "eval")
+    if not own.join(drawn, "task_id", "left_anti").isEmpty():
+        raise ValueError("the holdout draw does not contain the eval sample")
+    rest = drawn.join(own.select("task_id"), "task_id", "left_anti").select(*own.columns)
+    tuning = assemble(commits, tuning_per_repo, seed, "tuning")
+    named = lambda d, name: d.withColumn("split", F.lit(name))
+    return named(own, "eval").unionByName(named(rest, "holdout")).unionByName(named(tuning, "tuning"))

@@ -111,6 +111,74 @@ def decoys(pool: DataFrame, count: int, salt: int = 0x7DE1) -> DataFrame:
     return pool.groupBy("task_id").applyInPandas(run, "task_id string, path string")
 
 
+def decoy_places(excluded: list[int], n: int, count: int, seed: int) -> list[int]:
+    """Places (from 1) in a list of ``n`` of ``count`` items drawn without replacement from those not excluded."""
+    gone = sorted(set(excluded))
+    out = []
+    for u in uniform(seed, 0, min(count, n - len(gone))):
+        place = int(u * (n - len(gone))) % (n - len(gone)) + 1
+        for g in gone:
+            place += g <= place
+        gone = sorted([*gone, place])
+        out.append(place)
+    return sorted(out)
+
+
+def random_decoys(ranked: DataFrame, gold: DataFrame, salt: int = 0x7DE1) -> DataFrame:
+    """ranked: path, place (1, 2, … by path); gold: task_id, path, revealed. task_id, path: for each task as many other files as
+    are revealed. Places are drawn, and only drawn files are looked up: no task meets all files."""
+    n = ranked.agg(F.count("*")).first()[0]
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        took = decoy_places(d["place"].dropna().astype(int).tolist(), n, int(d["revealed"].sum()), fnv1a(d["task_id"].iloc[0]) ^ salt)
+        return pd.DataFrame({"task_id": d["task_id"].iloc[0], "place": took})
+
+    placed = gold.join(ranked, "path", "left").select("task_id", "place", "revealed")
+    return placed.groupBy("task_id").applyInPandas(run, "task_id string, place long").join(ranked, "place").select("task_id", "path")
+
+
+def same_folder_decoys(files: DataFrame, gold: DataFrame, salt: int = 0xD0C0) -> DataFrame:
+    """files: path; gold: task_id, path, revealed. task_id, path: for each task as many files beside revealed ones as are revealed,
+    the next ones by path from a drawn place on, round the end. Folders are counted, not gathered."""
+    from lodestone.operators.ranks import ordered_rank
+
+    folder = F.regexp_replace("path", "/?[^/]*$", "").alias("folder")
+    every = gold.select("path").distinct()
+    pool = ordered_rank(files.select("path", folder), ["folder", "path"], "place")
+    pool = pool.join(every.withColumn("_gold", F.lit(True)), "path", "left")
+    ends = pool.groupBy("folder").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    tasks = gold.groupBy("task_id").agg(F.count_if("revealed").alias("count"))
+    spans = gold.filter("revealed").select("task_id", folder).distinct().join(ends, "folder").join(tasks, "task_id")
+    known = gold.join(pool.select("path", "place"), "path").groupBy("task_id").agg(F.sort_array(F.collect_list("place")).alias("gone"))
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        gone, count = set(d["gone"].iloc[0]), int(d["count"].iloc[0])
+        spans = sorted(zip(d["folder"], d["first"], d["n"], strict=True))
+        total = sum(n for _, _, n in spans) - sum(any(f <= g < f + n for _, f, n in spans) for g in gone)
+        out: list[int] = []
+        if total > 0:
+            start = int(uniform(fnv1a(d["task_id"].iloc[0]) ^ salt, 0, 1)[0] * total) % total
+            left = min(count, total)
+            for lap in (0, 1):  # candidates in order, from the drawn one on, then those before it
+                at = 0
+                for _, first, n in spans:
+                    inside = sorted(g for g in gone if first <= g < first + n)
+                    free = n - len(inside)
+                    low = max(0, start - at) if lap == 0 else 0
+                    k = low
+                    while k < free and left and (lap == 0 or at + k < start):
+                        place = first + k
+                        for g in inside:
+                            place += g <= place
+                        out.append(int(place))
+                        left, k = left - 1, k + 1
+                    at += free
+        return pd.DataFrame({"task_id": d["task_id"].iloc[0], "place": out})
+
+    drawn = spans.join(known, "task_id").groupBy("task_id").applyInPandas(run, "task_id string, place long")
+    return drawn.join(pool.select("path", "place"), "place").select("task_id", "path")
+
+
 def strip_revealed(rankings: DataFrame, revealed: DataFrame) -> DataFrame:
     """Rankings without the files that a task has revealed."""
     return rankings.join(revealed.filter("revealed").select("task_id", "path"), ["task_id", "path"], "left_anti")

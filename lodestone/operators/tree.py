@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.paths import detect_language, dir_name
 from lodestone.sources.scan import ancestors
+from lodestone.sources.shared import written
 
 MAX_DEPTH, MAX_ENTRIES = 4, 400
 
@@ -31,9 +32,10 @@ def tree_nodes(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 def tree_lines(files: DataFrame, max_depth: int = MAX_DEPTH, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """ord, line of the drawn tree, ``max_entries`` at most. The entries are cut before anything is drawn."""
     nodes = tree_nodes(files, max_depth)
-    w = Window.partitionBy("parent").orderBy("sort_key")
-    last = nodes.withColumn("is_last", F.lead("path").over(w).isNull())
-    top = last.orderBy("sort_key").limit(max_entries)
+    # The last entry of a folder by an aggregate: a folder with a third of all files is no task of its own.
+    lasts = nodes.groupBy("parent").agg(F.max("sort_key").alias("last_key"))
+    few = F.broadcast(nodes.orderBy("sort_key").limit(max_entries))
+    top = written(lasts.join(few, "parent").withColumn("is_last", F.col("sort_key") == F.col("last_key")).drop("last_key"), "tree-top")
     marks = top.select(F.col("path").alias("above"), F.col("is_last").alias("above_last"))
     up = top.select("path", F.posexplode_outer(ancestors(F.col("path"))).alias("k", "above")).join(F.broadcast(marks), "above", "left")
     bars = up.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "above_last")))), lambda x: F.when(x["above_last"], "    ").otherwise("│   ")), "").alias("bars"))

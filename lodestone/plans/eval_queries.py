@@ -13,6 +13,7 @@ from lodestone.plans.base import DOCS, benchmark_tasks, doc_texts, listed, query
 from lodestone.plans.inline import Inline
 from lodestone.plans.lexical_queries import BM25, corpus, retrieve_sql
 from lodestone.plans.retrieve import retrieve
+from lodestone.plans.simulate import simulate
 from lodestone.sources import history
 from lodestone.sources.shared import written
 
@@ -188,14 +189,12 @@ def w13(spark, sf_dir):
 
 @query("e10_seed_simulation")
 def e10(spark, sf_dir):
-    """Hidden-gold recall of two arms: rankings as they are, and without the revealed files."""
-    r, gold = runs(spark, sf_dir)
-    shown = written(stats.reveal(gold.select(F.col("task_id").cast("string").alias("task_id"), "path")), "reveal")
-    hidden = shown.filter(~F.col("revealed")).select("task_id", "path")
-    plain = r.withColumn("task_id", F.col("task_id").cast("string"))
-    stripped = stats.strip_revealed(plain, shown).withColumn("system", F.concat("system", F.lit("-stripped")))
-    tasks = hidden.select("task_id").distinct()
-    return metrics.summarise(metrics.task_metrics(tasks, metrics.gold_ranks(hidden, plain.unionByName(stripped.select(*plain.columns)))), ["system"])
+    """Hidden-gold recall of nine arms, with the files that a task reveals taken out of every ranking."""
+    gold = written(gold_of(spark, sf_dir).select(F.col("task_id").cast("string").alias("task_id"), "path"), "gold")
+    tasks = benchmark_tasks(spark, sf_dir).select(F.col("query_id").cast("string").alias("task_id"), "text")
+    r = written(simulate(corpus(spark, sf_dir), doc_texts(spark, sf_dir), tasks, gold, cfg=config.Retrieval(limit=config.EVAL_LIMIT)), "arms")
+    hidden = stats.reveal(gold).filter(~F.col("revealed")).select("task_id", "path")
+    return metrics.summarise(metrics.task_metrics(hidden.select("task_id").distinct(), metrics.gold_ranks(hidden, r)), ["system"])
 
 
 @query("a15_random_exact")
@@ -273,6 +272,27 @@ def e13(spark, sf_dir):
     return mining.first_of_text(kept, "task", ["committer_time", "sha"]).select("task", "sha")
 
 
+SPLIT = (40, 30, 25)
+ORDERS = "o AS (SELECT 'r' || o_custkey % 5 AS repo, o_orderkey AS k, o_orderdate AS t, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderdate, o_orderkey::VARCHAR) AS nth, count(*) OVER (PARTITION BY o_custkey % 5) AS n FROM orders)"
+
+
+@query("e13_splits", f"""WITH {ORDERS}, s AS (SELECT repo, any_value(n) AS n, any_value(n) - any_value(n) // 2 AS late, any_value(n) // 2 AS early FROM o GROUP BY repo)
+    SELECT repo AS repo_id, 'eval' AS split, least({SPLIT[0]}, late)::BIGINT AS n, true AS apart FROM s UNION ALL SELECT repo, 'tuning', least({SPLIT[1]}, early)::BIGINT, true FROM s UNION ALL SELECT repo, 'holdout', least({SPLIT[2]}, late - least({SPLIT[0]}, late))::BIGINT, true FROM s WHERE late > {SPLIT[0]}""")
+def e13_splits(spark, sf_dir):
+    """The orders as commits of five repositories: sizes of the three sets, and whether each lies in its half of the time."""
+    o = table(spark, sf_dir, "orders")
+    f = F.array(F.struct(F.lit("M").alias("status"), F.lit("src/a.ts").alias("pre_path"), F.lit("src/a.ts").alias("post_path")))
+    d = o.select(
+        F.concat(F.lit("r"), F.col("o_custkey") % 5).alias("repo_id"), F.col("o_orderkey").cast("string").alias("sha"), F.lit("p").alias("parent_sha"), F.array(F.lit("p")).alias("parents"), F.lit("Ann").alias("author_name"), F.lit("ann@x.org").alias("author_email"),
+        F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("committer_time"), F.concat(F.lit("Correct the shipping address of order "), "o_orderkey", F.lit(" before sending goods")).alias("subject"), F.lit("").alias("body"), f.alias("files"),
+    )
+    t = mining.splits(d, *SPLIT, config.EVAL_SEED)
+    w = Window.partitionBy("repo_id").orderBy("committer_time", "sha")
+    halves = d.select("repo_id", "sha", (F.row_number().over(w) > F.floor(F.count("*").over(Window.partitionBy("repo_id")) / 2)).alias("late"))
+    own = t.join(halves, ["repo_id", "sha"]).groupBy("repo_id", "split").agg(F.count("*").alias("n"), F.bool_and(F.col("late") == (F.col("split") != "tuning")).alias("apart"))
+    return own.select("repo_id", "split", "n", "apart")
+
+
 @query("t21_bots", f"WITH e AS (SELECT c_custkey, c_name AS n, CASE c_custkey % 4 WHEN 0 THEN 'noreply@x.org' WHEN 1 THEN 'a.bot@x.org' ELSE 'a@x.org' END AS m FROM customer) SELECT c_custkey, contains(lower(n || ' ' || m), 'noreply') OR contains(lower(n || ' ' || m), 'bot@') AS is_bot FROM e")
 def t21(spark, sf_dir):
     m = F.when(F.col("c_custkey") % 4 == 0, "noreply@x.org").when(F.col("c_custkey") % 4 == 1, "a.bot@x.org").otherwise("a@x.org")

@@ -147,3 +147,21 @@ def test_checkpoint_tail(spark):
     assert tuple(checkpoints.checkpoint_state(r, 1, True).first()) == ("completed", 1)
 
 
+
+
+def test_splits_and_decoys(spark):
+    """Disjoint sets that extend each other; decoys are drawn from what is neither gold nor drawn already."""
+    from lodestone.operators import stats
+
+    files = [f"d{k % 3}/f{k:02}.ts" for k in range(30)]
+    gold = [("t1", files[0], True), ("t1", files[3], True), ("t1", files[1], False), ("t2", files[5], True)]
+    d = spark.createDataFrame([(p,) for p in files], "path string")
+    g = spark.createDataFrame(gold, "task_id string, path string, revealed boolean")
+    ranked = d.join(spark.createDataFrame([(p, k) for k, p in enumerate(sorted(files), 1)], "path string, place long"), "path")
+    own = {t: {p for a, p, _ in gold if a == t} for t in ("t1", "t2")}
+    for rows in (stats.random_decoys(ranked, g).collect(), stats.same_folder_decoys(d, g).collect()):
+        got = {t: [r.path for r in rows if r.task_id == t] for t in own}
+        assert len(set(got["t1"])) == 2 == len(got["t1"]) and len(got["t2"]) == 1 and not any(set(v) & own[t] for t, v in got.items())
+    beside = stats.same_folder_decoys(d, g).collect()
+    assert all(r.path.startswith("d0/" if r.task_id == "t1" else "d2/") for r in beside)
+    assert stats.decoy_places([1, 2, 3], 5, 4, 7) == [4, 5]
