@@ -35,7 +35,7 @@ from lodestone.llm.arrow import by_group
 from lodestone.llm.common import stage
 from lodestone.llm.components import components, of_key
 
-K, K_WIDE, TABLES, ROUNDS, BUCKET, BLOCK = 10, 40, 8, 6, 48, 256
+K, K_WIDE, TABLES, ROUNDS, BUCKET, BLOCK = 10, 40, 12, 6, 192, 256
 #: Rows of a block in which all pairs are compared.
 WIDE_BLOCK = 1024
 REVERSE, AUDIT, RECALL, RESTARTS = 64, 256, 0.999, 2
@@ -330,8 +330,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     lists, roots, recall = None, None, 1.0
     for start in range(RESTARTS + 1 if n > 1 else 0):
         first = _tables(vectors, n, start)
-        lists = _merged(first if lists is None else lists.unionByName(first), threshold)
-        total, before = None, None
+        before, lists = lists, _merged(first if lists is None else lists.unionByName(first), threshold)  # a new start goes on from what it has
+        total = None
         for _ in range(ROUNDS):
             now = lists.agg(F.coalesce(F.sum(F.aggregate("sims", F.lit(0.0), lambda a, s: a + s)), F.lit(0.0))).first()[0]
             if total is not None and now - total <= GAIN * abs(total):
