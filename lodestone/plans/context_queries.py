@@ -331,20 +331,33 @@ def entry_rows(spark, n: int, salt: str = ""):
     return d.select(*schema.names)
 
 
-@query("s14_store", "SELECT 'f' || id || '.ts' AS path, sha256(id || CASE WHEN id < 10 THEN 'new' ELSE '' END) AS content_hash FROM range(25) r(id) WHERE id NOT BETWEEN 20 AND 22")
+def document_entries(spark, sf_dir):
+    """An entry for each document with an id."""
+    d = table(spark, sf_dir, "documents").filter("doc_id is not null")
+    d = d.groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    d = d.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("markdown").alias("language"), F.sha2("text", 256).alias("content_hash"), F.lit(False).alias("is_test"), F.lit("PARSED").alias("parse_status"))
+    return d.crossJoin(F.broadcast(entry_rows(spark, 1).drop("path", "language", "content_hash", "is_test", "parse_status")))  # one row
+
+
+@query("s14_store", "SELECT doc_id || '.md' AS path, sha256(max(coalesce(text, '')) || CASE WHEN doc_id % 7 = 3 THEN 'new' ELSE '' END) AS content_hash FROM documents WHERE doc_id IS NOT NULL AND doc_id % 5 <> 2 GROUP BY doc_id")
 def s14(spark, sf_dir):
+    """Every document stored; then some with another text, some removed."""
     import uuid
 
     s = store.EntryStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    s.upsert(entry_rows(spark, 25))
-    s.upsert(entry_rows(spark, 10, "new"), spark.createDataFrame([(f"f{k}.ts",) for k in (20, 21, 22)], "path string"))
+    e = document_entries(spark, sf_dir)
+    s.upsert(e.drop("doc_id"))
+    text = table(spark, sf_dir, "documents").filter("doc_id % 7 = 3").groupBy("doc_id").agg(F.sha2(F.concat(F.max(F.coalesce("text", F.lit(""))), F.lit("new")), 256).alias("content_hash"))
+    s.upsert(e.drop("content_hash").join(text, "doc_id").filter("doc_id % 5 <> 2").drop("doc_id"), e.filter("doc_id % 5 = 2").select("path"))
     return s.load().select("path", "content_hash")
 
 
-@query("s15_valid_entries", "SELECT 'f' || id || '.ts' AS path, id % 3 <> 0 AS valid FROM range(9) r(id)")
+@query("s15_valid_entries", "SELECT doc_id || '.md' AS path, bool_and(doc_id % 3 <> 0 AND doc_id % 4 <> 1) AS valid FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id")
 def s15(spark, sf_dir):
-    d = entry_rows(spark, 9).withColumn("content_hash", F.when(F.substring("path", 2, 1).cast("int") % 3 == 0, "damaged").otherwise(F.col("content_hash")))
-    return d.select("path", store.valid_entry().alias("valid"))
+    """Entries of all documents, some with a damaged hash, some without a part that an entry must have."""
+    e = document_entries(spark, sf_dir)
+    e = e.withColumns({"content_hash": F.when(F.col("doc_id") % 3 == 0, "damaged").otherwise(F.col("content_hash")), "imports": F.when(F.col("doc_id") % 4 != 1, F.col("imports"))})
+    return e.select("path", store.valid_entry().alias("valid"))
 
 
 @query("e08_index_run", "SELECT 6::BIGINT AS entries, 6::BIGINT AS reused, true AS has_edges")

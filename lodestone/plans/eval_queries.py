@@ -234,9 +234,9 @@ COMMITS = Inline(
 REASONS = {"a2": "merge-commit", "a3": "bot-author", "a4": "pure-rename", "a5": "no-localizable-gold", "a6": "revert", "a7": "version-bump", "a8": "format-only", "a9": "docs-only", "b1": "lockfile-only", "b2": "ci-only", "b3": "no-source-file", "b4": "task-too-short", "b6": "file-count", "b7": "file-count", "b8": "no-source-file"}
 
 
-def commits(spark):
+def commits(spark, rows=None):
     f = F.transform(F.filter(F.split("files", ";"), lambda x: x != ""), lambda x: F.struct(F.element_at(F.split(x, ":"), 1).alias("status"), F.element_at(F.split(x, ":"), 2).alias("pre_path"), F.element_at(F.split(x, ":"), 3).alias("post_path")))
-    d = COMMITS.df(spark)
+    d = COMMITS.df(spark) if rows is None else rows
     return d.select("sha", F.array_repeat(F.lit("p"), F.col("n_parents")).alias("parents"), F.col("author").alias("author_name"), F.col("email").alias("author_email"), F.col("ts").alias("committer_time"), "subject", "body", f.alias("files"))
 
 
@@ -272,6 +272,38 @@ def e13(spark, sf_dir):
     return mining.first_of_text(kept, "task", ["committer_time", "sha"]).select("task", "sha")
 
 
+_K = "o_orderkey"
+_SUBJECT = f"CASE {_K} % 7 WHEN 0 THEN 'Revert the caching layer of order ' || {_K} WHEN 1 THEN 'Bump version for the release number ' || {_K} WHEN 2 THEN 'Format all files of the order module again' WHEN 3 THEN 'Tidy up' ELSE 'Correct the shipping address of order ' || {_K} || ' before sending goods' END"
+_FILES = f"CASE {_K} % 9 WHEN 0 THEN 'M:src/a.ts:src/a.ts' WHEN 1 THEN 'R:src/a.ts:src/b.ts' WHEN 2 THEN 'A:src/n.ts:src/n.ts' WHEN 3 THEN 'M:yarn.lock:yarn.lock' WHEN 4 THEN 'M:README.md:README.md' WHEN 5 THEN 'M:.github/ci.yml:.github/ci.yml' WHEN 6 THEN 'M:package.json:package.json' WHEN 7 THEN 'M:logo.png:logo.png' ELSE 'M:src/a.ts:src/a.ts;A:src/c.ts:src/c.ts' END"
+_COLUMNS = f"CAST({_K} AS {{text}}) AS sha, CASE WHEN {_K} % 11 = 0 THEN 2 ELSE 1 END AS n_parents, CASE WHEN {_K} % 13 = 0 THEN 'renovate' ELSE 'Ann' END AS author, 'ann@x.org' AS email, {_K} AS ts, {_SUBJECT} AS subject, '' AS body, {_FILES} AS files"
+ORDERS_JUDGED = f"commits AS (SELECT {_COLUMNS.format(text='VARCHAR')} FROM orders), c1 AS (SELECT *, list_filter(string_split(files, ';'), lambda x: x <> '') AS fs FROM commits), judged AS (SELECT *, {_rules()} AS reason FROM c1)"
+
+
+def order_commits(spark, sf_dir):
+    """Every order as a commit whose parents, author, subject and files follow from its key."""
+    return commits(spark, table(spark, sf_dir, "orders").selectExpr(*_split(_COLUMNS.format(text="STRING"))))
+
+
+def _split(columns: str) -> list[str]:
+    return [f"{x} AS {n}" for x, n in (part.rsplit(" AS ", 1) for part in columns.replace("', '", "\0").split(", ")) for x in [x.replace("\0", "', '")]]
+
+
+@query("f05_order_commits", f"WITH {ORDERS_JUDGED} SELECT sha, reason FROM judged")
+def f05_orders(spark, sf_dir):
+    return mining.judge(order_commits(spark, sf_dir)).select("sha", "reason")
+
+
+@query("a23_order_funnel", f"WITH {ORDERS_JUDGED} SELECT coalesce(reason, 'kept') AS reason, count(*)::BIGINT AS n FROM judged GROUP BY 1")
+def a23_orders(spark, sf_dir):
+    return mining.funnel(mining.judge(order_commits(spark, sf_dir)))
+
+
+@query("e13_order_tasks", f"WITH {ORDERS_JUDGED} SELECT subject AS task, arg_min(sha, (ts, sha)) AS sha FROM judged WHERE reason IS NULL GROUP BY subject")
+def e13_orders(spark, sf_dir):
+    kept = mining.judge(order_commits(spark, sf_dir)).filter("reason is null").select("task", "committer_time", "sha")
+    return mining.first_of_text(kept, "task", ["committer_time", "sha"]).select("task", "sha")
+
+
 SPLIT = (40, 30, 25)
 ORDERS = "o AS (SELECT 'r' || o_custkey % 5 AS repo, o_orderkey AS k, o_orderdate AS t, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderdate, o_orderkey::VARCHAR) AS nth, count(*) OVER (PARTITION BY o_custkey % 5) AS n FROM orders)"
 
