@@ -13,7 +13,7 @@ ROWS = [
     (1, "The quick brown fox jumps over the lazy dog and runs away from all of them today. It was fine.", "en", "src0", 10), (1, "The quick brown fox jumps over the lazy dog and runs away from all of them today. It was fine.", "en", "src0", 10),
     (2, None, None, None, None), (None, "An id is missing here", "en", "src1", 5), (None, None, None, None, None), (3, "", "de", "src0", 0), (4, " \n\t ", "de", "src0", 4), (5, LONG, "en", None, len(LONG)), (6, "\x00�😀  ", None, "src2", 3), (7, "ein Haus und ein Garten", "de", "src0", 5),
 ]
-CLASH = ["size", "shard", "node", "sig", "root", "score", "kept", "component_id", "label", "held_out", "path", "tokens", "budget1", "n_words", "_row", "order", "bucket", "curve", "__found", "weight"]
+CLASH = ["row", "maybe", "__kept", "_copies", "n_passage_words", "size", "shard", "node", "sig", "root", "score", "kept", "component_id", "label", "held_out", "path", "tokens", "budget1", "n_words", "_row", "order", "bucket", "curve", "__found", "weight"]
 
 
 @pytest.fixture(scope="module")
@@ -64,8 +64,9 @@ def test_vectors(spark):
 
 
 def test_pipeline_of_odd_rows(spark, docs, tmp_path):
-    d = docs.select(*DOCUMENTS.names)
+    d = docs
     for name, f in corpus_pipeline.STAGES:
+        assert d.columns == docs.columns
         d = f(spark, d, "")
         d.write.parquet(str(tmp_path / name))
         d = spark.read.parquet(str(tmp_path / name))
@@ -74,3 +75,30 @@ def test_pipeline_of_odd_rows(spark, docs, tmp_path):
     for _, f in corpus_pipeline.STAGES:
         empty = f(spark, empty, "")
     assert empty.count() == 0
+
+
+def test_broken_utf8(spark, labels):
+    """Bytes that are no UTF-8 stop nothing: each operator gives a row for each row, and U+FFFD stands for them where characters count."""
+    broken = F.unhex(F.lit("FFFE4120E28220" + "776F726420" * 30)).cast("string")
+    d = spark.createDataFrame(ROWS[:3], DOCUMENTS).withColumn("text", F.when(F.col("doc_id") == 1, broken).otherwise(F.col("text")))
+    for name in NAMES:
+        rows = run(name, d, labels).collect()
+        assert len(rows) == 3, name
+        if name == "repetition":
+            assert rows[0].n_words == 32 and rows[0].word_chars == 3 + 1 + 120
+        if name == "pieces":
+            assert rows[0].n_tokens > 30
+    for _, f in corpus_pipeline.STAGES:
+        d = f(spark, d, "")
+    assert d.count() >= 0
+
+
+def test_very_long_texts():
+    """Memory for each word is bounded: a million words that repeat one, and a million lines."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert repetition.measure([b"word " * 1_000_000])["longest_repeat"] == [999_999]
+    z, size = crf.potentials(b"a line of words.\n" * 200_000, __import__("numpy").zeros(crf.N_FEATURES))
+    assert len(z) == len(size) == 200_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kB

@@ -80,6 +80,18 @@ def test_shards(docs, texts):
         assert r.size == len(data) + 1 and r.text_crc32 == zlib.crc32(data) and r.grown_shard is None
 
 
+def test_placement_by_brute_force(docs):
+    """Every row's shard and slot, from the order of the cells and of the hashes within them."""
+    hashes = {(r.doc_id, r.c): r.h & 0xFFFFFFFFFFFFFFFF for r in docs.select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("c")).withColumn("h", F.xxhash64("doc_id", "c")).collect()}
+    rows = hilbert.shard_hilbert(docs, 7).collect()
+    for r in rows:
+        assert r.curve == hilbert.curve_index([r.q_lang, r.q_source, r.q_size], hilbert.BITS)
+    order = sorted(rows, key=lambda r: (r.curve, hashes[r.doc_id, r.text_crc32] >> 64 - hilbert.HASH_BITS * hilbert.HASH_LEVELS, r.text_crc32, r.doc_id, r.size))
+    small, more = divmod(len(rows), 7)
+    places = [(s, k) for s in range(7) for k in range(small + (s < more))]
+    assert [(r.shard, r.slot) for r in order] == places
+
+
 def test_pruning_keeps_matches(spark, docs):
     placed = hilbert.shard_hilbert(docs)
     boxes = hilbert.manifest(placed)
