@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,18 +29,42 @@ def flushes(events: DataFrame, window_ms: int = FLUSH_MS, by: list[str] = ()) ->
     """Batch form of the flush rule: a flush comes ``window_ms`` after the first event that waits and takes what came
     until then; later events don't put it off. ``by``, flush (from 1), path, kind (the last one).
 
-    The windows of a burst follow from each other, so each ``by`` group is folded over its sorted events."""
-    ms = F.unix_micros("ts")
-    g = events.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(ms.alias("t"), "path", "kind"))).alias("e"))
-    start = F.struct(F.lit(None).cast("long").alias("first"), F.lit(0).alias("n"), F.array().cast("array<struct<flush:int,t:bigint,path:string,kind:string>>").alias("out"))
-
-    def step(acc, x):
-        fresh = acc["first"].isNull() | (x["t"] > acc["first"] + window_ms * 1000)
-        n = acc["n"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(F.when(fresh, x["t"]).otherwise(acc["first"]).alias("first"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(n.alias("flush"), x["t"].alias("t"), x["path"].alias("path"), x["kind"].alias("kind")))).alias("out"))
-
-    flat = g.select(*by, F.explode(F.aggregate("e", start, step, lambda a: a["out"])).alias("x")).select(*by, "x.*")
-    return flat.groupBy(*by, "flush", "path").agg(F.max(F.struct("t", "kind")).alias("x")).select(*by, "flush", "path", F.col("x.kind").alias("kind"))
+    A gap of more than ``window_ms`` ends every window, so the bursts between such gaps are folded by themselves. Gaps are
+    found hour by hour, and between hours from a table with a row for each hour that has events, so a group is never
+    in one task as a whole; a burst is, while it lasts."""
+    wait, hour = window_ms * 1000, 3_600_000_000
+    d = events.withColumns({"_t": F.unix_micros("ts"), "_hour": F.expr(f"unix_micros(ts) div {hour}L")})
+    hours = d.groupBy(*by, "_hour").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    own = Window.partitionBy(*by).orderBy("_hour")
+    hours = hours.withColumn("_prev", F.lag("_last").over(own)).select(*by, "_hour", "_prev")
+    w = Window.partitionBy(*by, "_hour").orderBy("_t")
+    d = d.withColumn("_near", F.lag("_t").over(w)).join(hours, [*by, "_hour"])
+    opens = F.coalesce(F.col("_t") - F.coalesce("_near", "_prev") > wait, F.lit(True))
+    d = d.withColumn("_opens", F.when(opens, F.col("_t")))
+    # The burst of an event: the last opening before it in its hour, or the last of an earlier hour.
+    d = d.withColumn("_burst", F.max("_opens").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    carried = d.groupBy(*by, "_hour").agg(F.max("_opens").alias("_o")).withColumn("_carried", F.max("_o").over(own.rowsBetween(Window.unboundedPreceding, -1))).drop("_o")
+    d = d.join(carried, [*by, "_hour"]).withColumn("_burst", F.coalesce("_burst", "_carried"))
+    keys = [*by, "_burst"]
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
+
+    def fold(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("_t", kind="stable")
+        starts, first = [], None
+        for t in b["_t"]:
+            first = t if first is None or t > first + wait else first
+            starts.append(first)
+        return b.assign(_start=starts)[[*keys, "_t", "path", "kind", "_start"]]
+
+    folded = d.select(*keys, "_t", "path", "kind").groupBy(*keys).applyInPandas(fold, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_t long, path string, kind string, _start long"]))
+    last = folded.groupBy(*by, "_start", "path").agg(F.max(F.struct("_t", "kind")).alias("x"))
+    # Windows are numbered hour by hour, too.
+    starts = last.select(*by, "_start").distinct().withColumn("_hour", F.expr(f"_start div {hour}L"))
+    counts = starts.groupBy(*by, "_hour").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*by, "_hour").orderBy("_start"))
+    numbered = starts.withColumn("_k", place).join(counts, [*by, "_hour"]).select(*by, "_start", (F.col("_before") + F.col("_k")).cast("int").alias("flush"))
+    return last.join(numbered, [*by, "_start"]).select(*by, "flush", "path", F.col("x.kind").alias("kind"))
 
 
 def flush_processor(window_ms: int = FLUSH_MS):

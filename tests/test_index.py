@@ -165,3 +165,22 @@ def test_splits_and_decoys(spark):
     beside = stats.same_folder_decoys(d, g).collect()
     assert all(r.path.startswith("d0/" if r.task_id == "t1" else "d2/") for r in beside)
     assert stats.decoy_places([1, 2, 3], 5, 4, 7) == [4, 5]
+
+
+def test_flushes_by_folding(spark):
+    """Events over days, in bursts, against the rule applied one event after the other."""
+    rng = random.Random(5)
+    rows, t = [], 0
+    for _ in range(600):
+        t += rng.choice([0, 50, 300, 599, 600, 601, 900, 5_000_000])
+        rows.append((t, f"f{rng.randrange(5)}", rng.choice(["change", "delete"]), rng.choice("ab")))
+    d = spark.createDataFrame(rows, "ms long, path string, kind string, workspace string").withColumn("ts", F.timestamp_millis("ms"))
+    want = set()
+    for ws in "ab":
+        first, n, held = None, 0, {}
+        for ms, path, kind, _ in sorted(r for r in rows if r[3] == ws):
+            if first is None or ms > first + 600:
+                first, n = ms, n + 1
+            held[n, path] = max(held.get((n, path), (0, "")), (ms, kind))
+        want |= {(ws, k, p, kind) for (k, p), (_, kind) in held.items()}
+    assert {(r.workspace, r.flush, r.path, r.kind) for r in changes.flushes(d, 600, ["workspace"]).collect()} == want
