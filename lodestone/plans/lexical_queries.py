@@ -43,7 +43,32 @@ LEX = f"""WITH {VOCAB}, {TERMS}, {KEYS}, sums AS (SELECT query_id, sum(term_idf)
     lex AS (SELECT query_id, path, 0.9::DOUBLE * sum(part) * (0.6::DOUBLE + 0.4::DOUBLE * count(DISTINCT term) / max(n_terms)) AS weight, count(DISTINCT term)::INTEGER AS matched FROM hits GROUP BY ALL)"""
 
 
+_CORPORA: dict[tuple, Corpus] = {}
+
+
+def _state(spark, path: str) -> tuple:
+    """The files below a path as they are now: name, length and time of change."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))
+
+
+def _there(spark, df) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0])
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def corpus(spark, sf_dir) -> Corpus:
+    """The corpus of the documents as they are: indexed once in a session, and anew when their files have changed or the
+    index is gone."""
+    key = (spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/documents.parquet"))
+    got = _CORPORA.get(key)
+    if got is None or got.index is not None and not _there(spark, got.index):
+        got = _CORPORA[key] = _corpus(spark, sf_dir)
+    return got
+
+
+def _corpus(spark, sf_dir) -> Corpus:
     return Corpus(lexical.document_entries(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))))
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.config import CONTENT_KINDS, RETRIEVAL, Retrieval
+from lodestone.config import CONTENT_KINDS, RETRIEVAL, Lexical, Retrieval
 from lodestone.functions.paths import base_name, dir_name
 from lodestone.functions.text import analyze_query, canonical_term, exact_weight_for_kind
 from lodestone.operators import graph, lexical
@@ -26,11 +26,16 @@ class Corpus:
     symbols: DataFrame | None = None
     index: DataFrame | None = None
     vocab: DataFrame | None = None
+    built_for: Lexical | None = None
 
     def prepared(self, cfg: Retrieval = RETRIEVAL) -> Corpus:
-        """With the postings and the vocabulary, each built and written once: they are read several times."""
+        """With the postings and the vocabulary, each built and written once: they are read several times, also by later
+        queries of the same corpus. Other settings of the words have an index of their own."""
+        if self.built_for is not None and self.built_for != cfg.lexical:
+            return Corpus(self.entries, self.edges, self.symbols).prepared(cfg)
         if self.index is None:
             self.index = written(lexical.postings(self.entries, cfg.lexical), "postings")
+            self.built_for = cfg.lexical
         if self.vocab is None:
             self.vocab = written(lexical.vocabulary(self.index, lexical.count_row(self.entries)), "vocab")
         return self
