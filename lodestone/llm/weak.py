@@ -238,6 +238,8 @@ def fit(labelled: DataFrame, others: DataFrame, docs: DataFrame) -> dict:
     seen = sorted(read.filter("label >= 0").select("doc_id", "label", "place", "bands").collect(), key=lambda r: (r["place"], r["label"]))
     new = [r for r, k in zip(seen, _first_of_kind([r["bands"] for r in seen]), strict=True) if k]
     d1, d0 = sum(r["label"] == 1 for r in new), sum(r["label"] == 0 for r in new)
+    if not d1:
+        return none
     counted = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"],) for r in new], "doc_id long"))  # 2 * LABELLED rows
     k, n = F.col("own"), F.col("own") + F.col("other")
     share, p = d1 / (d1 + d0), (F.col("own") + 0.1) / (F.col("own") + F.col("other") + 0.2)
@@ -293,7 +295,7 @@ def score_documents(docs: DataFrame, model: dict, text: str = "text") -> DataFra
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     d = clean_name(docs, "doc_id", "text").withColumn("held_out", crc32_text(F.col("doc_id")) % 5 == 0)
     learn = crc32_text(F.col("doc_id")) % 5 != 0
-    marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).filter(learn & F.col("label").isNotNull())
+    marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).filter(learn & F.col("label").isin(0, 1))
     # Ids without a label: drawn among the ids alone, four times as many as are wanted, then those with a label go.
     ids = d.filter("doc_id is not null and not held_out").select("doc_id")
     share = min(1.0, 8 * (UNLABELLED + 20) / max(1, ids.count()))

@@ -53,6 +53,7 @@ def test_empty_tables(spark, docs, labels, name):
     none = spark.createDataFrame([], DOCUMENTS)
     assert run(name, none, spark.createDataFrame([], LABELS)).count() == 0
     assert run(name, docs, spark.createDataFrame([], LABELS)).count() == len(ROWS)
+    assert run(name, none, labels).count() == 0
 
 
 def test_vectors(spark):
