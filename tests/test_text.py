@@ -93,3 +93,8 @@ def test_null_texts(spark):
     v = F.col("v")
     r = d.select(X.tokenize_identifier(v).alias("t"), X.canonical_term(v).alias("c"), X.fence_length(F.coalesce(v, F.lit(""))).alias("f"), P.to_posix(v).alias("p"), X.shannon_entropy(v).alias("e")).collect()
     assert r[1].t == [] and r[1].c == "" and r[1].p == "" and r[0].f == 3 and r[1].e == 0
+
+
+def test_lines_of_a_message_keep_their_first_digits(spark):
+    d = spark.createDataFrame([("Fix", "0 a\n 1219 b\r\n2 c ")], "subject string, body string")
+    assert d.select(X.clean_task_text(F.col("subject"), F.col("body"))).first()[0] == "Fix 0 a 1219 b 2 c"
