@@ -184,3 +184,25 @@ def test_flushes_by_folding(spark):
             held[n, path] = max(held.get((n, path), (0, "")), (ms, kind))
         want |= {(ws, k, p, kind) for (k, p), (_, kind) in held.items()}
     assert {(r.workspace, r.flush, r.path, r.kind) for r in changes.flushes(d, 600, ["workspace"]).collect()} == want
+
+
+def test_words_move_once_and_one_path_counts_once(spark):
+    """Entries of one path count as one, and neither counting nor scoring deals words by query."""
+    from lodestone.config import RETRIEVAL
+
+    schema = "path string, symbols array<string>, io array<string>, summary string, identifiers array<string>, text string"
+    twice = [("a.md", [], [], None, ["x1y"], "cache cache"), ("b.md", [], [], None, [], "cached"), ("a.md", [], [], None, [], "cache dog")]
+    e = spark.createDataFrame(twice, schema)
+    got = {(r.term, r.path): (r.tf, r.body_length) for r in lexical.body_terms(e.select("path", "text")).collect()}
+    assert got == {("cache", "a.md"): (3, 4), ("dog", "a.md"): (1, 4), ("cached", "b.md"): (1, 1)}
+    index = lexical.postings(e)
+    vocab = lexical.vocabulary(index, lexical.count_row(e))
+    q = spark.createDataFrame([(1, "cache dog"), (2, "ca"), (3, "caching"), (4, "zebra")], "query_id int, text string")
+    new = {(r.query_id, r.path): (round(r.weight, 9), r.matched) for r in lexical.lexical_scores(index, vocab, q).collect()}
+    most, lexical.MAX_ASKED = lexical.MAX_ASKED, 0
+    try:  # the joins, as they are used for very many queries
+        old = {(r.query_id, r.path): (round(r.weight, 9), r.matched) for r in lexical.lexical_scores(index, vocab, q).collect()}
+    finally:
+        lexical.MAX_ASKED = most
+    assert new == old and len(new) == 4 and RETRIEVAL.lexical_weight == 0.9
+    assert "Exchange" not in lexical.postings(e.filter("path = 'b.md'"))._jdf.queryExecution().executedPlan().toString()
