@@ -98,3 +98,9 @@ def test_null_texts(spark):
 def test_lines_of_a_message_keep_their_first_digits(spark):
     d = spark.createDataFrame([("Fix", "0 a\n 1219 b\r\n2 c ")], "subject string, body string")
     assert d.select(X.clean_task_text(F.col("subject"), F.col("body"))).first()[0] == "Fix 0 a 1219 b 2 c"
+
+
+def test_identifiers_without_a_limit(spark):
+    text = " ".join(f"name{k}" for k in range(900))
+    assert len(one(spark, text, lambda c: X.extract_identifiers(c))) == 400
+    assert len(one(spark, text, lambda c: X.extract_identifiers(c, None))) == 900
