@@ -100,6 +100,36 @@ def test_order_does_not_depend_on_partitions(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+@pytest.mark.parametrize("joined", [False, True])
+def test_no_table_of_all_pairs(spark, monkeypatch, joined):
+    """Only what can rank leaves the place where words are summed, and the ranking is that of all pairs, with ties by path."""
+    from lodestone.plans import retrieve as plan
+
+    sizes = {}
+    real = lexical.written
+    for module in (plan, lexical):
+        monkeypatch.setattr(module, "written", lambda df, name: sizes.update({name: (d := real(df, name)).count()}) or d)
+    if joined:
+        monkeypatch.setattr(lexical, "MAX_ASKED", 0)
+    rows = {f"d{k % 4}__f{k:03}": {"text": "login " * (k % 3 + 1) + f"cache w{k % 7}", "symbols": ["gizmo"] if k % 50 == 0 else []} for k in range(300)}
+    e, q, cfg = entries(spark, **rows), queries(spark, *[f"login cache w{k % 7} d{k % 4}" + " gizmo f017" * (k % 2) for k in range(20)]), Retrieval(limit=3)
+    got = sorted(map(tuple, retrieve(Corpus(e), q, cfg)[1].select("query_id", "path", "score", "rank").collect()))
+    assert joined or max(n for name, n in sizes.items() if name not in ("postings", "vocab")) < 300 * 20 / 10
+    every = content_signals(Corpus(e), q, cfg)
+    seed = plan.seeds_of(plan.content_scores(every), q, None, cfg).filter("place = 1").select("query_id", F.col("path").alias("seed"))
+    beside = e.select("path").crossJoin(seed).filter("path <> seed and split(path, '/')[0] = split(seed, '/')[0]").select("query_id", "path", F.lit("SAME_DIRECTORY").alias("kind"), F.lit(0.2).alias("weight"), F.lit("").alias("detail"))
+    want = sorted(map(tuple, rank(every.unionByName(beside), cfg).select("query_id", "path", "score", "rank").collect()))
+    assert got == want and len(got) == 60
+
+
+def test_rounds_as_spark_does(spark):
+    import numpy as np
+
+    x = np.concatenate([np.random.default_rng(1).random(2000) * 3, [0.0000005, 0.1234565, 1.0000005, 2.7182815, 0.2000005, 1.1111115, 0.0]])
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert list(lexical._rounded(x)) == want
+
+
 def test_empty_tables(spark):
     none, e = entries(spark), entries(spark, a={"symbols": ["x"]})
     assert retrieve(Corpus(none), queries(spark, "login"))[1].count() == 0
