@@ -55,7 +55,7 @@ def simulate(corpus: Corpus, texts: DataFrame, tasks: DataFrame, gold: DataFrame
         out = ranking if out is None else out.unionByName(ranking)
     names = shown.filter("revealed").groupBy("task_id").agg(F.array_join(F.sort_array(F.collect_list("path")), " ").alias("names"))
     plain = scored.join(names, "task_id", "left").select(F.col("task_id").alias("query_id"), F.concat_ws(" ", "text", "names").alias("text"))
-    okapi = baselines.ranked(baselines.bm25(texts, plain), cfg.limit).select(F.lit("bm25names").alias("system"), F.col("query_id").alias("task_id"), "path", "rank")
+    okapi = baselines.ranked(baselines.bm25(texts, plain, cfg.limit), cfg.limit).select(F.lit("bm25names").alias("system"), F.col("query_id").alias("task_id"), "path", "rank")
     kept = stats.strip_revealed(out.unionByName(okapi), shown)
     from pyspark.sql import Window
 

@@ -122,12 +122,26 @@ def test_no_table_of_all_pairs(spark, monkeypatch, joined):
     assert got == want and len(got) == 60
 
 
+def test_okapi_makes_no_table_of_words(spark, monkeypatch):
+    """Scores are summed where a document lies: no rows of single words are dealt out. Rows that share a path count as before."""
+    from lodestone.operators import baselines
+
+    d = spark.createDataFrame([(f"src/cache{k % 5}/f{k}.md", "login cache " * (k % 4) + f"w{k % 9} Cache") for k in range(60)] + [("a/b.md", "login"), ("a/b.md", "login"), ("a/b.md", "login cache w1"), ("e.md", None), ("f.md", "")], "path string, text string")
+    q = queries(spark, "login cache", "w3 cache2", "nothing", "b login login")
+    want = sorted(map(tuple, baselines._joined_bm25(d, q).collect()))
+    plan = baselines.bm25(d.filter("path <> 'a/b.md'"), q)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    assert sorted(map(tuple, baselines.bm25(d, q).collect())) == want
+    top = baselines.ranked(baselines.bm25(d, q, 4), 4)
+    assert sorted(map(tuple, top.collect())) == sorted(map(tuple, baselines.ranked(baselines._joined_bm25(d, q), 4).collect()))
+
+
 def test_rounds_as_spark_does(spark):
     import numpy as np
 
     x = np.concatenate([np.random.default_rng(1).random(2000) * 3, [0.0000005, 0.1234565, 1.0000005, 2.7182815, 0.2000005, 1.1111115, 0.0]])
     want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
-    assert list(lexical._rounded(x)) == want
+    assert list(lexical.rounded(x)) == want
 
 
 def test_empty_tables(spark):
