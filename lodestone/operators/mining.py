@@ -95,30 +95,39 @@ def dataset_hash(tasks: list[list]) -> int:
     return fnv1a(json.dumps(tasks, separators=(",", ":"), ensure_ascii=False))
 
 
-def assemble(commits: DataFrame, per_repo: int, seed: int, half: str = "eval") -> DataFrame:
-    """commits (with repo_id, parent_sha, committer_time): kept, one for each task text and repository, of the wanted half by time, sampled."""
-    from lodestone.operators.stats import sample_commits
+def candidates(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The kept commits, one for each task text and repository, written once; and the place of each within its repository by time
+    (repo_id, committer_time, sha, _r, _n)."""
+    from lodestone.operators.ranks import group_rank
 
     kept = judge(commits).filter("reason is null")
     first = kept.groupBy("repo_id", "task").agg(F.min(F.struct("committer_time", "sha", "parent_sha", "gold", "excluded_new_files")).alias("x")).select("repo_id", "task", "x.*")
-    from pyspark.sql import Window
+    first = written(first, "candidates")
+    return first, written(group_rank(first.select("repo_id", "committer_time", "sha"), "repo_id", ["committer_time", "sha"], "_r", "_n"), "places")
 
-    w = Window.partitionBy("repo_id")
-    split = first.withColumns({"_r": F.row_number().over(w.orderBy("committer_time", "sha")), "_n": F.count("*").over(w)})
-    pool = split.filter((F.col("_r") > F.floor(F.col("_n") / 2)) == F.lit(half == "eval")).drop("_r", "_n")
-    picked = sample_commits(pool.select("repo_id", "sha", "committer_time"), per_repo, seed)
-    return pool.join(picked.select("repo_id", "sha"), ["repo_id", "sha"], "left_semi").withColumn("task_id", F.concat("repo_id", F.lit(":"), "sha"))
+
+def assemble(commits: DataFrame, per_repo: int, seed: int, half: str = "eval", among: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """commits (with repo_id, parent_sha, committer_time): kept, one for each task text and repository, of the wanted half by time, sampled.
+    among: what ``candidates`` gave, if it is at hand."""
+    from lodestone.operators.stats import sample_places
+
+    first, places = candidates(commits) if among is None else among
+    early = F.floor(F.col("_n") / 2)
+    pool = places.filter((F.col("_r") > early) == F.lit(half == "eval")).withColumn("place", F.col("_r") - (early if half == "eval" else F.lit(0)))
+    picked = pool.join(sample_places(pool.groupBy("repo_id").agg(F.count("*").alias("n")), per_repo, seed), ["repo_id", "place"], "left_semi")
+    return first.join(picked.select("repo_id", "sha"), ["repo_id", "sha"], "left_semi").withColumn("task_id", F.concat("repo_id", F.lit(":"), "sha"))
 
 
 def splits(commits: DataFrame, per_repo: int, tuning_per_repo: int, holdout_per_repo: int, seed: int) -> DataFrame:
     """The tasks of all three sets, with their ``split``. ``eval`` is drawn from the later half by time, ``tuning`` from the earlier;
     ``holdout`` is what a longer draw from the later half has beyond ``eval``. A longer draw begins as the shorter one
     does; if it should not hold all of it, the job fails."""
-    drawn = written(assemble(commits, per_repo + holdout_per_repo, seed), "drawn")
-    own = written(assemble(commits, per_repo, seed), "eval")
+    among = candidates(commits)
+    drawn = written(assemble(commits, per_repo + holdout_per_repo, seed, among=among), "drawn")
+    own = written(assemble(commits, per_repo, seed, among=among), "eval")
     if not own.join(drawn, "task_id", "left_anti").isEmpty():
         raise ValueError("the holdout draw does not contain the eval sample")
     rest = drawn.join(own.select("task_id"), "task_id", "left_anti").select(*own.columns)
-    tuning = assemble(commits, tuning_per_repo, seed, "tuning")
+    tuning = assemble(commits, tuning_per_repo, seed, "tuning", among)
     named = lambda d, name: d.withColumn("split", F.lit(name))
     return named(own, "eval").unionByName(named(rest, "holdout")).unionByName(named(tuning, "tuning"))

@@ -52,6 +52,15 @@ def ordered_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFram
     return inner.join(F.broadcast(sizes), "_range").withColumn(out, (F.col("_before") + F.col("_inner")).cast("long")).drop("_range", "_before", "_inner")
 
 
+def group_rank(df: DataFrame, by: str, order: list[str], out: str = "rank", size: str = "n") -> DataFrame:
+    """Adds 1, 2, … within each group by ``order``, and the group's size. Groups may be few and large: they are cut into ranges too.
+    Rows without a group go."""
+    d = ordered_rank(df, [by, *order], "_place")
+    groups = written(d.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min("_place").alias("_first"), F.count("*").alias(size)), "groups")
+    groups = F.broadcast(groups) if groups.count() <= 100_000 else groups  # counted
+    return d.join(groups, by).withColumn(out, F.col("_place") - F.col("_first") + 1).drop("_place", "_first")
+
+
 def top(df: DataFrame, k: int, order: list[Column | str], by: list[str]) -> DataFrame:
     """The first ``k`` rows of each group; Spark cuts each task's groups to ``k`` before the shuffle."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_k") <= k).drop("_k")

@@ -181,3 +181,18 @@ def test_top_per_group_is_cut_before_the_shuffle(spark):
     d = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
     plan = top(d, 2, ["id"], ["g"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_splits_judge_once_and_rank_in_ranges(spark, monkeypatch):
+    from lodestone.operators import mining, ranks
+    from lodestone.plans import eval_queries
+
+    calls, real = [], mining.judge
+    monkeypatch.setattr(mining, "judge", lambda d: calls.append(1) or real(d))
+    eval_queries.e13_splits(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+    d = spark.createDataFrame([(f"r{k % 2}", k * 7 % 50, str(k)) for k in range(100)], "repo string, t int, sha string")
+    got = {r.sha: (r.rank, r.n) for r in ranks.group_rank(d, "repo", ["t", "sha"]).collect()}
+    for repo in range(2):
+        own = sorted((k * 7 % 50, str(k)) for k in range(100) if k % 2 == repo)
+        assert all(got[sha] == (place, 50) for place, (_, sha) in enumerate(own, 1))
