@@ -206,3 +206,28 @@ def test_words_move_once_and_one_path_counts_once(spark):
         lexical.MAX_ASKED = most
     assert new == old and len(new) == 4 and RETRIEVAL.lexical_weight == 0.9
     assert "Exchange" not in lexical.postings(e.filter("path = 'b.md'"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_path_is_one_row_of_the_index(spark):
+    """Rows of whole paths hold the same postings and score the same, so hits need no shuffle, however many keys serve a term."""
+    rows = [(f"d{k % 3}/fileA{k}.md", ["fooBar", "foo"] * (k % 2), ["x_y"], "sum Up", ["ca2Che"], f"cacheLogin HTTPServer2 W{k}x 1ab a_b$c \u00e9t\u00e9 " * (k % 4 + 1) + " ".join(f"w{k}q{j}" for j in range(250 * (k % 2))), k % 5) for k in range(12)]
+    e = spark.createDataFrame(rows, "path string, symbols array<string>, io array<string>, summary string, identifiers array<string>, text string, own int")
+    whole = lexical.path_postings(e)
+    key = lambda d: {(r.term, r.path): round(r.wtf, 12) for r in d.collect()}
+    assert whole.count() == 12 and key(lexical.flat(whole)) == key(lexical.postings(e))
+    listed = e.withColumn("identifiers", F.concat("identifiers", F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]{2,}"), F.lit(0))), F.lit(1), F.col("own")))).drop("own")
+    assert key(lexical.postings(listed)) == key(lexical.postings(e))
+    vocab = lexical.vocabulary(whole, lexical.count_row(e))
+    q = spark.createDataFrame([(1, "cache w3"), (2, "w"), (3, "server http2 foobar")], "query_id int, text string")
+    asked = lexical.ask(q, vocab)
+    assert "Exchange" not in lexical.asked_hits(whole, asked)._jdf.queryExecution().executedPlan().toString()
+    scores = lambda index: {(r.query_id, r.path): (round(r.weight, 9), r.matched) for r in lexical.lexical_scores(index, vocab, q).collect()}
+    assert scores(whole) == scores(lexical.postings(e)) and scores(whole)
+
+
+def test_spread_sorts_no_texts(spark):
+    from lodestone.sources.shared import spread
+
+    d = spark.range(100, numPartitions=1).withColumn("text", F.lit("x"))
+    plan = spread(d)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and sorted(r.id for r in spread(d).collect()) == list(range(100))
