@@ -16,11 +16,14 @@ FK = """fk AS (SELECT 'file:r' || n_regionkey AS source, 'file:n' || n_nationkey
     UNION ALL SELECT DISTINCT 'file:s' || l_suppkey, 'file:p' || l_partkey, 'references' FROM lineitem)"""
 
 
-def fk_edges(spark, sf_dir):
+def fk_edges(spark, sf_dir, unique=False):
+    """unique: nations and suppliers that are told twice count once."""
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     edge = lambda d, a, x, b, y, kind: d.select(F.concat(F.lit(f"file:{a}"), F.col(x)).alias("source"), F.concat(F.lit(f"file:{b}"), F.col(y)).alias("target"), F.lit(kind).alias("kind"), F.lit("PARSED").alias("provenance"), F.lit(None).cast("string").alias("detail"))
-    li = edge(table(spark, sf_dir, "lineitem"), "s", "l_suppkey", "p", "l_partkey", "references").distinct()
-    return edge(n, "r", "n_regionkey", "n", "n_nationkey", "imports").unionByName(edge(s, "n", "s_nationkey", "s", "s_suppkey", "calls")).unionByName(li)
+    li = edge(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct(), "s", "l_suppkey", "p", "l_partkey", "references")
+    few = [edge(n, "r", "n_regionkey", "n", "n_nationkey", "imports"), edge(s, "n", "s_nationkey", "s", "s_suppkey", "calls")]
+    few = [d.distinct() for d in few] if unique else few
+    return few[0].unionByName(few[1]).unionByName(li)
 
 
 def starts(spark, *nodes):
@@ -54,12 +57,12 @@ def _walk(depth: int, both: bool) -> str:
 
 @query("g04_traverse", _walk(3, False) + " SELECT query_id, node, depth::INTEGER AS depth FROM seen")
 def g04(spark, sf_dir):
-    return graph.traverse(fk_edges(spark, sf_dir), starts(spark, "file:r0", "file:r2"), 3)[0]
+    return graph.traverse(fk_edges(spark, sf_dir, True), starts(spark, "file:r0", "file:r2"), 3, unique=True)[0]
 
 
 @query("g05_both_ways", _walk(2, True) + " SELECT DISTINCT query_id, source, target, kind FROM seen JOIN fk ON (node = source OR node = target) WHERE depth < 2")
 def g05(spark, sf_dir):
-    return graph.traverse(fk_edges(spark, sf_dir), starts(spark, "file:r0", "file:r2"), 2, both_ways=True)[1].select("query_id", "source", "target", "kind")
+    return graph.traverse(fk_edges(spark, sf_dir, True), starts(spark, "file:r0", "file:r2"), 2, both_ways=True, unique=True)[1].select("query_id", "source", "target", "kind")
 
 
 SIGNALS = _walk(3, True) + """, w AS (SELECT DISTINCT query_id, substr(source, 6) AS a, substr(target, 6) AS b, kind FROM seen JOIN fk ON (node = source OR node = target) WHERE depth < 3),
@@ -67,7 +70,7 @@ SIGNALS = _walk(3, True) + """, w AS (SELECT DISTINCT query_id, substr(source, 6
 
 
 def walked_signals(spark, sf_dir):
-    _, walked = graph.traverse(fk_edges(spark, sf_dir), starts(spark, "file:r0", "file:r2"), 3, both_ways=True, accept=graph.crosses_files())
+    _, walked = graph.traverse(fk_edges(spark, sf_dir, True), starts(spark, "file:r0", "file:r2"), 3, both_ways=True, accept=graph.crosses_files(), unique=True)
     return graph.structural_signals(walked)
 
 
@@ -100,15 +103,15 @@ def j17(spark, sf_dir):
 HUBS = f"{FK}, dg AS (SELECT x AS path, sum(n)::BIGINT AS degree FROM (SELECT substr(source, 6) AS x, count(DISTINCT target) AS n FROM fk GROUP BY ALL UNION ALL SELECT substr(target, 6), count(DISTINCT source) FROM fk GROUP BY ALL) GROUP BY x)"
 
 
-def fk_files(spark, sf_dir):
-    e = fk_edges(spark, sf_dir)
+def fk_files(e):
     nodes = e.select(F.col("source").alias("n")).unionByName(e.select(F.col("target").alias("n"))).distinct()
     return nodes.select(graph.file_of_node(F.col("n")).alias("path"), F.col("n").startswith("file:r").alias("is_test"))
 
 
 @query("a16_hubs", f"WITH {HUBS} SELECT path, degree FROM dg WHERE path NOT LIKE 'r%' ORDER BY degree DESC, path LIMIT 12")
 def a16(spark, sf_dir):
-    return graph.hubs(fk_edges(spark, sf_dir), fk_files(spark, sf_dir), 12)
+    e = written(fk_edges(spark, sf_dir), "fk")
+    return graph.hubs(e, fk_files(e), 12)
 
 
 @query("a16_part_supplier_degree", "SELECT l_partkey, count(DISTINCT l_suppkey)::BIGINT AS suppliers FROM lineitem GROUP BY l_partkey ORDER BY suppliers DESC, l_partkey LIMIT 20")
@@ -118,7 +121,8 @@ def a16b(spark, sf_dir):
 
 @query("g07_project_ranking")
 def g07(spark, sf_dir):
-    return project_ranking(fk_files(spark, sf_dir), written(fk_edges(spark, sf_dir), "fk"))
+    e = written(fk_edges(spark, sf_dir), "fk")
+    return project_ranking(written(fk_files(e), "files"), e)
 
 
 @query("f09_entry_points", "WITH e(k, e) AS (VALUES (0, 'index.ts'), (1, 'main.py'), (2, 'Server.MJS'), (3, 'app.js'), (4, 'node_modules/index.js')), u AS (SELECT p_partkey, replace(p_name, ' ', '/') || '/' || e AS path FROM part JOIN e ON p_partkey % 5 = k) SELECT p_partkey, path FROM u WHERE regexp_matches(lower(regexp_extract(path, '[^/]*$')), '^(index|main|app|server|entry)\\.[cm]?[jt]sx?$') AND NOT contains(path, 'node_modules')")

@@ -196,3 +196,17 @@ def test_splits_judge_once_and_rank_in_ranges(spark, monkeypatch):
     for repo in range(2):
         own = sorted((k * 7 % 50, str(k)) for k in range(100) if k % 2 == repo)
         assert all(got[sha] == (place, 50) for place, (_, sha) in enumerate(own, 1))
+
+
+def test_walked_edges_stay_where_they_lie(spark):
+    """An edge whose two ends are walked from, by several queries, comes once for each query, and no edge is dealt out for that."""
+    rows = [("file:a", "file:b", "calls"), ("file:b", "file:a", "calls"), ("file:b", "file:c", "imports"), ("file:b", "file:c", "references"), ("file:c", "file:d", "tests"), ("file:x", "file:y", "extends")]
+    e = spark.createDataFrame([(*r, "P", None) for r in rows], "source string, target string, kind string, provenance string, detail string")
+    q = spark.createDataFrame([(0, "file:a"), (1, "file:b"), (0, "file:a")], "query_id int, node string")
+    _, walked = graph.traverse(e, q, 2, both_ways=True, unique=True)
+    assert "hashpartitioning" not in walked._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r.source, r.target, r.kind) for r in walked.collect()) == sorted([(0, *r) for r in rows[:4]] + [(1, *r) for r in rows[:5]])
+    _, again = graph.traverse(e.unionByName(e), q, 2, both_ways=True)
+    assert sorted(map(str, again.collect())) == sorted(map(str, walked.collect()))
+    got = sorted((r.path, r.kind, r.other) for r in graph.structural_signals(walked).filter("query_id = 0").collect())
+    assert got == [("a", "CALL_EDGE", "b"), ("b", "CALL_EDGE", "a"), ("b", "DIRECT_DEPENDENT", "c"), ("c", "DIRECT_DEPENDENCY", "b")]
