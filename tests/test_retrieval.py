@@ -210,3 +210,19 @@ def test_walked_edges_stay_where_they_lie(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, walked.collect()))
     got = sorted((r.path, r.kind, r.other) for r in graph.structural_signals(walked).filter("query_id = 0").collect())
     assert got == [("a", "CALL_EDGE", "b"), ("b", "CALL_EDGE", "a"), ("b", "DIRECT_DEPENDENT", "c"), ("c", "DIRECT_DEPENDENCY", "b")]
+
+
+def test_retrieval_indexes_what_is_asked(spark):
+    e = entries(spark, lib__login={"text": "login loginForm other words"}, lib__log={"text": "log Login2x nothing"}, lib__x={"text": "unrelated things " * 300})
+    q = queries(spark, "login words")
+    c = Corpus(e)
+    own, whole = c.asking(q), Corpus(e).prepared()
+    kept = {r["term"] for r in lexical.flat(own.index).collect()}
+    assert {"login", "words"} <= kept and not kept & {"unrelated", "nothing", "other"}
+    rows = lambda d, *by: sorted(tuple(r) for r in d.collect() if r["term"] in kept)
+    assert rows(lexical.flat(own.index)) == rows(lexical.flat(whole.index)) and rows(own.vocab) == rows(whole.vocab)
+    assert c.asking(q) is own and c.index is None
+    assert sorted(map(tuple, retrieve(c, q)[1].collect())) == sorted(map(tuple, retrieve(whole, q)[1].collect()))
+    # A third set of words takes the whole index.
+    c.asking(queries(spark, "log"))
+    assert c.asking(queries(spark, "things")) is c and c.index is not None
