@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,20 +37,18 @@ def simulate(corpus: Corpus, texts: DataFrame, tasks: DataFrame, gold: DataFrame
     """texts: path, text; tasks: task_id (string), text; gold: task_id, path; diffs: task_id, text of what revealed files changed.
     system, task_id, path, rank of every arm, without the files that the task reveals, for tasks that hide a file.
 
-    Tasks of all arms with like settings are the queries of one search."""
+    Tasks of all arms are the queries of one search, in which those of like words are scored once."""
     shown = written(stats.reveal(gold), "reveal")
     scored = tasks.join(shown.filter(~F.col("revealed")).select("task_id").distinct(), "task_id", "left_semi")
     seeds = written(seeds_by_arm(texts, shown), "arm-seeds")
-    out = None
-    for slots, boost in sorted({(s, b) for _, s, b in ARMS.values()}):
-        arms = tasks.sparkSession.createDataFrame([(a, src) for a, (src, s, b) in ARMS.items() if (s, b) == (slots, boost)], "system string, source string")
-        q = scored.crossJoin(F.broadcast(arms)).withColumn("query_id", F.concat("system", F.lit("|"), "task_id"))  # a row for each arm
-        if diffs is not None:
-            q = q.join(diffs.select("task_id", F.col("text").alias("diff")), "task_id", "left").withColumn("text", F.when(F.col("source") == "diff", F.concat_ws(" ", "text", "diff")).otherwise(F.col("text")))
-        hints = q.select("query_id", "task_id", "source").join(seeds, ["source", "task_id"]).select("query_id", "path", F.lit("DIFF_TOUCHED").alias("kind"), F.lit("").alias("detail"))
-        _, ranking = retrieve(corpus, q.select("query_id", "text"), replace(cfg, slot_policy=slots, neighbor_boost=boost), hints=hints)
-        ranking = ranking.select(F.substring_index("query_id", "|", 1).alias("system"), F.expr("substring(query_id, instr(query_id, '|') + 1)").alias("task_id"), "path", "rank")
-        out = ranking if out is None else out.unionByName(ranking)
+    arms = tasks.sparkSession.createDataFrame([(a, src, s == "slots", b) for a, (src, s, b) in ARMS.items()], "system string, source string, slot boolean, boost double")
+    q = scored.crossJoin(F.broadcast(arms)).withColumn("query_id", F.concat("system", F.lit("|"), "task_id"))  # a row for each arm
+    if diffs is not None:
+        q = q.join(diffs.select("task_id", F.col("text").alias("diff")), "task_id", "left").withColumn("text", F.when(F.col("source") == "diff", F.concat_ws(" ", "text", "diff")).otherwise(F.col("text")))
+    q = written(q.select("query_id", "task_id", "source", "slot", "boost", "text"), "arm-queries")
+    hints = q.join(seeds, ["source", "task_id"]).select("query_id", "path", F.lit("DIFF_TOUCHED").alias("kind"), F.lit("").alias("detail"), "slot", "boost")
+    _, ranking = retrieve(corpus, q.select("query_id", "text"), cfg, hints=hints)
+    out = ranking.select(F.substring_index("query_id", "|", 1).alias("system"), F.expr("substring(query_id, instr(query_id, '|') + 1)").alias("task_id"), "path", "rank")
     names = shown.filter("revealed").groupBy("task_id").agg(F.array_join(F.sort_array(F.collect_list("path")), " ").alias("names"))
     plain = scored.join(names, "task_id", "left").select(F.col("task_id").alias("query_id"), F.concat_ws(" ", "text", "names").alias("text"))
     okapi = baselines.ranked(baselines.bm25(texts, plain, cfg.limit), cfg.limit).select(F.lit("bm25names").alias("system"), F.col("query_id").alias("task_id"), "path", "rank")

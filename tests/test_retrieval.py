@@ -226,3 +226,21 @@ def test_retrieval_indexes_what_is_asked(spark):
     # A third set of words takes the whole index.
     c.asking(queries(spark, "log"))
     assert c.asking(queries(spark, "things")) is c and c.index is not None
+
+
+def test_arms_are_one_search(spark, monkeypatch):
+    from lodestone.plans import simulate as s
+
+    e = entries(spark, **{f"lib{k % 2}__f{k}": {"text": f"login form word{k}"} for k in range(8)})
+    tasks = spark.createDataFrame([("1", "login word1"), ("2", "login word2 form")], "task_id string, text string")
+    gold = spark.createDataFrame([("1", "lib1/f1.ts"), ("1", "lib1/f3.ts"), ("2", "lib0/f2.ts"), ("2", "lib0/f4.ts")], "task_id string, path string")
+    asked = []
+
+    def search(corpus, queries, *args, **named):
+        asked.append(lexical.ask(queries, corpus.prepared().vocab))
+        return retrieve(corpus, queries, *args, **named)
+
+    monkeypatch.setattr(s, "retrieve", search)
+    got = s.simulate(Corpus(e), e.select("path", "text"), tasks, gold).groupBy("system", "task_id").count().collect()
+    assert {r["system"] for r in got} == {*s.ARMS, "bm25names"}
+    assert len(asked) == 1 and len(asked[0].ids) == 16 and len(asked[0].n_terms) == 2
