@@ -16,11 +16,12 @@ FK = """fk AS (SELECT 'file:r' || n_regionkey AS source, 'file:n' || n_nationkey
     UNION ALL SELECT DISTINCT 'file:s' || l_suppkey, 'file:p' || l_partkey, 'references' FROM lineitem)"""
 
 
-def fk_edges(spark, sf_dir, unique=False):
-    """unique: nations and suppliers that are told twice count once."""
+def fk_edges(spark, sf_dir, unique=False, repeated=False):
+    """unique: nations and suppliers that are told twice count once. repeated: edges may be told twice, as the rows tell them."""
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     edge = lambda d, a, x, b, y, kind: d.select(F.concat(F.lit(f"file:{a}"), F.col(x)).alias("source"), F.concat(F.lit(f"file:{b}"), F.col(y)).alias("target"), F.lit(kind).alias("kind"), F.lit("PARSED").alias("provenance"), F.lit(None).cast("string").alias("detail"))
-    li = edge(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct(), "s", "l_suppkey", "p", "l_partkey", "references")
+    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    li = edge(pairs if repeated else pairs.distinct(), "s", "l_suppkey", "p", "l_partkey", "references")
     few = [edge(n, "r", "n_regionkey", "n", "n_nationkey", "imports"), edge(s, "n", "s_nationkey", "s", "s_suppkey", "calls")]
     few = [d.distinct() for d in few] if unique else few
     return few[0].unionByName(few[1]).unionByName(li)
@@ -70,7 +71,8 @@ SIGNALS = _walk(3, True) + """, w AS (SELECT DISTINCT query_id, substr(source, 6
 
 
 def walked_signals(spark, sf_dir):
-    _, walked = graph.traverse(fk_edges(spark, sf_dir, True), starts(spark, "file:r0", "file:r2"), 3, both_ways=True, accept=graph.crosses_files(), unique=True)
+    # Edges told twice are walked twice and become one where the signals are made, so only walked edges are moved.
+    _, walked = graph.traverse(fk_edges(spark, sf_dir, repeated=True), starts(spark, "file:r0", "file:r2"), 3, both_ways=True, accept=graph.crosses_files(), unique=True, nodes=False)
     return graph.structural_signals(walked)
 
 

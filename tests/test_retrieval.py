@@ -244,3 +244,17 @@ def test_arms_are_one_search(spark, monkeypatch):
     got = s.simulate(Corpus(e), e.select("path", "text"), tasks, gold).groupBy("system", "task_id").count().collect()
     assert {r["system"] for r in got} == {*s.ARMS, "bm25names"}
     assert len(asked) == 1 and len(asked[0].ids) == 16 and len(asked[0].n_terms) == 2
+
+
+def test_last_level_is_not_looked_for(spark, monkeypatch):
+    e = spark.createDataFrame([(f"file:{a}", f"file:{b}", k, "PARSED", None) for a, b, k in [("a", "b", "imports"), ("b", "c", "calls"), ("c", "d", "imports"), ("c", "d", "imports"), ("d", "e", "calls")]], "source string, target string, kind string, provenance string, detail string")
+    start = spark.createDataFrame([(0, "file:a")], "query_id int, node string")
+    names = []
+    real = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or real(df, name))
+    signals = lambda d: sorted(map(tuple, graph.structural_signals(d).collect()))
+    whole = signals(graph.traverse(e, start, 3, both_ways=True)[1])
+    assert names.count("walk") == 4
+    names.clear()
+    assert signals(graph.traverse(e, start, 3, both_ways=True, unique=True, nodes=False)[1]) == whole and len(whole) == 6
+    assert names.count("walk") == 3
