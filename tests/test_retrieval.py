@@ -258,3 +258,16 @@ def test_last_level_is_not_looked_for(spark, monkeypatch):
     names.clear()
     assert signals(graph.traverse(e, start, 3, both_ways=True, unique=True, nodes=False)[1]) == whole and len(whole) == 6
     assert names.count("walk") == 3
+
+
+def test_file_names_score_like_tasks_once(spark):
+    from lodestone.operators.baselines import filename
+
+    paths = spark.createDataFrame([("src/login/form.ts",), ("docs/login.md",), ("a/b.md",)], "path string")
+    tasks = spark.createDataFrame([(k, "open login form") for k in range(30)] + [(30, "form  Open login"), (31, "nothing here"), (32, None)], "query_id int, text string")
+    d = filename(paths, tasks)
+    got = {(r["query_id"], r["path"]): r["score"] for r in d.collect()}
+    assert {q for q, _ in got} == set(range(31)) and len(got) == 62
+    assert len({(p, s) for (_, p), s in got.items()}) == 2
+    # What is summed is grouped by what tasks ask, not by task.
+    assert "asks" in d._jdf.queryExecution().analyzed().toString()
